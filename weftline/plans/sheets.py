@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.catalog import table
@@ -18,20 +21,25 @@ DOMAINS = (
 )
 
 
-def judged(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of review and review_lines once: source, row_no, the sheet's columns as strings, and reason (null: it can be loaded)."""
-    review = distinct_rows(table(spark, folder, "review").select("source", "row_no", *SHEET), ["source", "row_no"]).withColumn("form", F.lit(None).cast("string"))
-    lines = parse_lines(distinct_rows(table(spark, folder, "review_lines").select("source", "row_no", "line"), ["source", "row_no"]), "line", SHEET).drop("line")
-    both = review.unionByName(lines)
+def judged(spark: SparkSession, folder: str, tables: Sequence[str] = ("review", "review_lines")) -> DataFrame:
+    """Every record of the tables once: source, row_no, the sheet's columns as strings, and reason (null: it can be loaded)."""
+    parts = []
+    if "review" in tables:
+        review = distinct_rows(table(spark, folder, "review").select("source", "row_no", *SHEET), ["source", "row_no"]).withColumn("form", F.lit(None).cast("string"))
+        parts.append(review)
+    if "review_lines" in tables:
+        lines = parse_lines(distinct_rows(table(spark, folder, "review_lines").select("source", "row_no", "line"), ["source", "row_no"]), "line", SHEET).drop("line")
+        parts.append(lines)
+    both = reduce(lambda a, b: a.unionByName(b), parts)
     blank_start, blank_end = is_blank(F.col("sign_start")), is_blank(F.col("sign_end"))
     pair = (blank_start != blank_end) | (~blank_start & ~blank_end & ~decimal_less(F.col("sign_start"), F.col("sign_end")))
     return with_reason(both, DOMAINS, structural=F.col("form"), across=[("timing", pair)]).drop("form")
 
 
-def loaded(spark: SparkSession, folder: str) -> DataFrame:
+def loaded(spark: SparkSession, folder: str, tables: Sequence[str] = ("review", "review_lines")) -> DataFrame:
     """The records that can be loaded, typed. A null verdict stays null, an empty one empty; blank times are null."""
     number = lambda c: F.when(~is_blank(F.col(c)), F.trim(c).try_cast("double")).alias(c)
-    return judged(spark, folder).filter("reason is null").select("source", "row_no", "file", "word", F.trim("video_start").try_cast("double").alias("video_start"), "verdict", "signer", number("sign_start"), number("sign_end"))
+    return judged(spark, folder, tables).filter("reason is null").select("source", "row_no", "file", "word", F.trim("video_start").try_cast("double").alias("video_start"), "verdict", "signer", number("sign_start"), number("sign_end"))
 
 
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
