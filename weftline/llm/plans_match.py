@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.catalog import table
+from weftline.llm.names import link_spellings, linked_pairs
 from weftline.llm.nearest import nearest_within
 from weftline.llm.registry import LLM
 from weftline.plans.sheets import JUDGED_SQL, loaded
@@ -33,3 +34,19 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     signs = signs.select(F.regexp_extract("file", r"(.{11})\.mp4$", 1).alias("entity"), F.col("sign_start").alias("time"), F.concat_ws(":", "source", F.col("row_no").cast("string")).alias("key"))
     words = nearest_within(clips, heard, WORD_TOLERANCE).select(F.lit("word").alias("leg"), "left_key", "right_key")
     return words.unionByName(nearest_within(signs, clips, SIGN_TOLERANCE).select(F.lit("sign").alias("leg"), "left_key", "right_key"))
+
+
+@LLM.add("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of spellings of one interpreter."""
+    linked = link_spellings(table(spark, folder, "review"), "signer")
+    return linked_pairs(linked).select(F.col("x").alias("signer_a"), F.col("y").alias("signer_b"))
+
+
+@LLM.add("p5_people")
+def p5_people(spark: SparkSession, folder: str) -> DataFrame:
+    """The spellings of each interpreter with the one used most, and how often each is used."""
+    used = table(spark, folder, "review").select("source", "row_no", F.col("signer").alias("spelling")).distinct().groupBy("spelling").count()
+    linked = link_spellings(table(spark, folder, "review"), "signer").join(used, "spelling")
+    main = linked.groupBy("person").agg(F.max(F.struct("count", "spelling")).alias("m"))
+    return linked.join(main, "person").select(F.col("m.spelling").alias("interpreter"), "spelling", F.col("count").alias("n"))
