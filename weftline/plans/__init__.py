@@ -1,4 +1,4 @@
 """The core's queries. Importing the modules fills registry.CORE."""
 
-from weftline.plans import aggregates, sheets, spans  # noqa: F401
+from weftline.plans import aggregates, joins, sheets, spans  # noqa: F401
 from weftline.plans.registry import CORE, Registry  # noqa: F401
