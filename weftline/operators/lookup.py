@@ -20,6 +20,15 @@ def all_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
+def join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """a joined with b on keys where null equals null; the keys are a's."""
+    renamed = b.withColumnsRenamed({k: f"__j{i}" for i, k in enumerate(keys)})
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__j{i}"))
+    return a.join(renamed, cond, how).drop(*[f"__j{i}" for i in range(len(keys))])
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of df's values: strings by their length, arrays by 16 an element, all else 8 a column."""
     size = F.lit(16)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from weftline.operators.lookup import all_null_safe
+from weftline.operators.lookup import all_null_safe, join_null_safe
 
 
 def lag_in_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], cell: float, out: str = "prev") -> DataFrame:
@@ -97,10 +97,8 @@ def average_of_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
 def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> DataFrame:
     """(value - median) / (1.4826 * MAD) per key; null with fewer than three values, 0 where the MAD is nearly 0."""
     keys = list(keys)
-    med = df.groupBy(*keys).agg(F.median(value).alias("__m"), F.count(value).alias("__n"))
-    with_m = df.join(med, all_null_safe(df, med, keys)).select(*[df[c] for c in df.columns], "__m", "__n")
-    mad = with_m.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("__m"))).alias("__d"))
-    both = with_m.join(mad, all_null_safe(with_m, mad, keys)).select(*[with_m[c] for c in with_m.columns], "__d")
+    with_m = join_null_safe(df, df.groupBy(*keys).agg(F.median(value).alias("__m"), F.count(value).alias("__n")), keys)
+    both = join_null_safe(with_m, with_m.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("__m"))).alias("__d")), keys)
     z = F.when(F.col("__n") < 3, None).when(F.col("__d") < 1e-9, F.lit(0.0) * F.col(value)).otherwise((F.col(value) - F.col("__m")) / (1.4826 * F.col("__d")))
     return both.withColumn(out, z).drop("__m", "__n", "__d")
 
@@ -163,10 +161,8 @@ def thin(df: DataFrame, keys: Sequence[str], time: str, tie: str, apart: float)
     own = lag_in_cells(df, keys, order, [time], cell).withColumn("__brk", F.when(F.coalesce(F.col(time) - F.col(f"prev.{time}") < apart, F.lit(False)), 0).otherwise(1)).drop("prev")
     own = running_sum(own, keys, order, "__brk", cell, "__grp").drop("__brk")
     seq = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(tie).alias("i"))))
-    zero = seq.getItem(0)
     fold = own.groupBy(*keys, "__grp").agg(seq.alias("s"))
     kept = F.expr(f"aggregate(slice(s, 2, greatest(size(s) - 1, 0)), array(s[0]), (a, x) -> case when x.t - element_at(a, -1).t >= {apart} then concat(a, array(x)) else a end)")
-    del zero
     ids = fold.select(*keys, F.explode(kept).alias("__k")).select(*keys, F.col("__k.t").alias(time), F.col("__k.i").alias(tie))
     return df.join(ids, [*keys, time, tie], "left_semi")
 
