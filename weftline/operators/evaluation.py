@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from math import comb
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from weftline.operators.lookup import beside
 
 
 def average_rank(value: str, keys: Sequence[str] = ()) -> Column:
@@ -44,7 +45,7 @@ def wilcoxon(df: DataFrame, difference: str) -> DataFrame:
     w = average_ranks(own, "a", "r").agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"), F.count(F.lit(1)).alias("n"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.coalesce("t3", F.lit(0.0)) / 48.0)
-    return w.join(F.broadcast(ties)).select("w_plus", "n", F.when(sd > 0, (F.col("w_plus") - n * (n + 1) / 4.0) / sd).alias("z"))
+    return beside(w, ties).select("w_plus", "n", F.when(sd > 0, (F.col("w_plus") - n * (n + 1) / 4.0) / sd).alias("z"))
 
 
 def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str, ident: str) -> DataFrame:

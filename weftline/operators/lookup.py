@@ -69,3 +69,8 @@ def distinct_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         return df.distinct()
     picked = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row"))
     return picked.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a one-row aggregate beside each row, as scalar subqueries: no join."""
+    return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])

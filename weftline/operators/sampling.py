@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from weftline.operators.lookup import beside
 
 
 def cap(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
@@ -37,5 +38,5 @@ def quota_fill(df: DataFrame, prefer: Column, order: Sequence[str], n: int) -> D
     share = marked.agg(F.count_if(F.col("__p") == 0).alias("a"), F.count_if(F.col("__p") == 1).alias("b"))
     nth = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1
     step = F.greatest(F.lit(1), F.floor(F.col("b") / F.greatest(F.lit(1), n - F.col("a"))))
-    ranked = marked.withColumn("__i", nth).join(F.broadcast(share)).withColumn("__s", F.when(F.col("__p") == 0, 0).otherwise((F.col("__i") % step != 0).cast("int")))
+    ranked = beside(marked.withColumn("__i", nth), share).withColumn("__s", F.when(F.col("__p") == 0, 0).otherwise((F.col("__i") % step != 0).cast("int")))
     return ranked.orderBy("__p", "__s", "__i").limit(n).drop("__p", "__i", "a", "b", "__s")

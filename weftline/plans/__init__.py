@@ -1,4 +1,4 @@
 """The core's queries. Importing the modules fills registry.CORE."""
 
-from weftline.plans import aggregates, joins, sampling, sequences, sheets, spans, texts  # noqa: F401
+from weftline.plans import aggregates, evaluation, gates, joins, sampling, sequences, sheets, spans, streams, texts  # noqa: F401
 from weftline.plans.registry import CORE, Registry  # noqa: F401

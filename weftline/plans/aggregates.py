@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from weftline.catalog import table
-from weftline.operators.lookup import lookup_join
+from weftline.operators.lookup import beside, lookup_join
 from weftline.operators.merging import first_wins
 from weftline.operators.sequences import islands
 from weftline.plans.common import ASR, CLIPS, EV, HOUR, MAN, REV, SEG, clips, events, heard, manifest, review, segments, six
@@ -89,7 +89,7 @@ def q_coverage(spark: SparkSession, d: str) -> DataFrame:
     miss = lambda c, n: six(F.avg(F.expr(f"cast({c} as int)")), n)
     v = segments(spark, d).groupBy("version").agg(F.count(F.lit(1)).alias("n"), miss("hand_coverage is null", "missing_coverage"), miss("start_sec is null or end_sec is null", "missing_seconds"))
     share = events(spark, d).agg(six(F.countDistinct("user_id", "bin") / (F.countDistinct("user_id") * (F.max("bin") - F.min("bin") + 1.0)), "bins_with_events"))
-    return v.join(F.broadcast(share))
+    return beside(v, share)
 
 
 @add("q_bin_grid", f"with {EV}, g as (select u.user_id, b.bin from (select distinct user_id from ev) u, (select unnest(generate_series((select min(bin) from ev), (select max(bin) from ev), 24)) as bin) b), a as (select user_id, (bin - (select min(bin) from ev)) // 24 * 24 + (select min(bin) from ev) as bin, sum(value) as s, count(*) as n from ev group by 1, 2) select g.user_id, g.bin, round(coalesce(s / n, 0), 6) as mean_value, coalesce(n, 0) as n from g left join a using (user_id, bin)")
@@ -97,9 +97,9 @@ def q_bin_grid(spark: SparkSession, d: str) -> DataFrame:
     """A dense grid of days: the grid is generated per user from the feed's first and last hour, so no join makes it."""
     ev = events(spark, d)
     ends = ev.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    own = ev.join(F.broadcast(ends)).withColumn("day", F.col("lo") + F.floor((F.col("bin") - F.col("lo")) / 24).cast("long") * 24)
+    own = beside(ev, ends).withColumn("day", F.col("lo") + F.floor((F.col("bin") - F.col("lo")) / 24).cast("long") * 24)
     a = own.groupBy("user_id", F.col("day").alias("bin")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
-    grid = ev.select("user_id").distinct().join(F.broadcast(ends)).select("user_id", F.explode(F.sequence("lo", "hi", F.lit(24))).alias("bin"))
+    grid = beside(ev.select("user_id").distinct(), ends).select("user_id", F.explode(F.sequence("lo", "hi", F.lit(24))).alias("bin"))
     return grid.join(a, ["user_id", "bin"], "left").select("user_id", "bin", six(F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)), "mean_value"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.catalog import table
 from weftline.operators.coverage import periods_and_gaps
-from weftline.operators.lookup import lookup_join
+from weftline.operators.lookup import beside, lookup_join
 from weftline.operators.merging import first_wins, merge_fields, prefer_version, two_way, upsert
 from weftline.operators.sequences import running_sum
 from weftline.operators.temporal import asof_before, in_interval, nearest, next_within, overlapping
@@ -120,7 +120,7 @@ def q_asof_forward_bounded(spark: SparkSession, d: str) -> DataFrame:
     v, b = _pair(spark, d, "view", "purchase")
     m = next_within(v, b, ["user_id"], "us", "at", ["other"], DAY_CELL, SIX_HOURS)
     reuse = m.filter("match is not null").groupBy("user_id", F.col("match.t").alias("t")).agg(F.count(F.lit(1)).alias("reuse")).agg(F.max("reuse").alias("max_reuse"), F.round(F.avg("reuse"), 6).alias("mean_reuse"))
-    return m.agg(F.count(F.lit(1)).alias("n"), F.count("match").alias("n_matched"), F.median(F.col("match.t") - F.col("us")).alias("med_us")).join(F.broadcast(reuse))
+    return beside(m.agg(F.count(F.lit(1)).alias("n"), F.count("match").alias("n_matched"), F.median(F.col("match.t") - F.col("us")).alias("med_us")), reuse)
 
 
 @add("q_gap_reject", f"""with {_NEXT}, clicks as (select user_id, us as a, us + {2 * HOUR} as b from ev where event_type = 'click'),

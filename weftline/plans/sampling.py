@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftline.operators.lookup import beside
 from weftline.catalog import table
 from weftline.functions.vectors import pad
 from weftline.operators.merging import vocabulary
@@ -66,7 +67,7 @@ def q_loso(spark: SparkSession, d: str) -> DataFrame:
     r = review(spark, d)
     n = r.groupBy("source").agg(F.count_if(F.col("verdict") == "y").alias("n_test"))
     total = n.agg(F.sum("n_test").alias("total"))
-    return n.join(F.broadcast(total)).select(F.col("source").alias("held_out"), "n_test", (F.col("total") - F.col("n_test")).alias("n_train"))
+    return beside(n, total).select(F.col("source").alias("held_out"), "n_test", (F.col("total") - F.col("n_test")).alias("n_train"))
 
 
 @add("q_pad_batch", f"with {EV}, s as (select user_id, bin // 24 as day, list(value order by us, event_id) as vals from ev group by 1, 2), m as (select max(len(vals)) as width from s) select user_id, day, len(vals)::bigint as length, list_resize(vals, width, 0.0) as padded from s, m")
@@ -75,7 +76,7 @@ def q_pad_batch(spark: SparkSession, d: str) -> DataFrame:
     s = events(spark, d).groupBy("user_id", F.floor(F.col("bin") / 24).alias("day")).agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "value"))).alias("v"))
     s = s.select("user_id", "day", F.transform("v", lambda x: x["value"]).alias("vals"))
     width = s.agg(F.max(F.size("vals")).alias("width"))
-    return s.join(F.broadcast(width)).select("user_id", "day", F.size("vals").cast("long").alias("length"), pad(F.col("vals"), F.col("width")).alias("padded"))
+    return beside(s, width).select("user_id", "day", F.size("vals").cast("long").alias("length"), pad(F.col("vals"), F.col("width")).alias("padded"))
 
 
 @add("q_candidates_reasons", f"with {CLIPS} select case when length(word) < 4 then 'short' when match_kind = 'no_match' then 'no_match' when word_end is null then 'no_end' when match_kind like 'ambiguous%' then 'ambiguous' else 'kept' end as reason, count(*) as n from clips group by 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from weftline.operators.lookup import beside
 from weftline.functions.text import words
 from weftline.operators import sequences as S
 from weftline.operators.coverage import periods_and_gaps
@@ -22,7 +23,7 @@ def q_islands(spark: SparkSession, d: str) -> DataFrame:
     ev = events(spark, d)
     runs = S.islands(ev, ["user_id"], "us", ["event_id"], SIX_HOURS, CELL, 3, (HOUR, HOUR))
     ends = ev.agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    return runs.join(F.broadcast(ends)).select("user_id", F.greatest("start_at", "lo").alias("start_at"), F.least("end_at", "hi").alias("end_at"), "n")
+    return beside(runs, ends).select("user_id", F.greatest("start_at", "lo").alias("start_at"), F.least("end_at", "hi").alias("end_at"), "n")
 
 
 _STILL = f"{EV}, g as (select user_id, bin, avg(value) < 20 as still from ev group by 1, 2), r as (select *, row_number() over (partition by user_id order by bin) - row_number() over (partition by user_id, still order by bin) as k from g), runs as (select user_id, still, min(bin) as from_bin, max(bin) as to_bin, count(*) as n from r group by user_id, still, k)"
@@ -128,7 +129,7 @@ def q_complement(spark: SparkSession, d: str) -> DataFrame:
     """The time a customer has no order running, of a day at least, from the first to the last order of all: head and tail included."""
     both = periods_and_gaps(order_months(spark, d), ["o_custkey"], "a", "b", 12 * MONTH)
     ends = order_months(spark, d).agg(F.min("a").alias("lo"), F.max("b").alias("hi"))
-    outer = both.filter("kind = 'period'").groupBy("o_custkey").agg(F.min("a").alias("a"), F.max("b").alias("b")).join(F.broadcast(ends))
+    outer = beside(both.filter("kind = 'period'").groupBy("o_custkey").agg(F.min("a").alias("a"), F.max("b").alias("b")), ends)
     gaps = both.filter("kind = 'gap'").select("o_custkey", F.col("a").alias("gap_start"), F.col("b").alias("gap_end"))
     x = gaps.unionByName(outer.select("o_custkey", F.col("lo").alias("gap_start"), F.col("a").alias("gap_end"))).unionByName(outer.select("o_custkey", F.col("b").alias("gap_start"), F.col("hi").alias("gap_end")))
     return x.filter(F.col("gap_end") - F.col("gap_start") >= 24 * HOUR)

@@ -1 +1 @@
-"""See the README for an overview of this subpackage."""
+"""Structured Streaming forms of the batch operators: windows, sessions, de-duplication, absence."""
