@@ -20,7 +20,7 @@ def q_scan_pushdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add("q_eligibility_hours", f"""with {SEG}, m as (select version, end_sec - start_sec as dur, coalesce(hand_coverage >= 0.6 and end_sec - start_sec >= 2, false) as ok from seg where end_sec > start_sec)
-select version, count(*) as n, count_if(ok) as n_kept, sum(cast(round(dur * 1000) as bigint))::bigint as ms_before, coalesce(sum(case when ok then cast(round(dur * 1000) as bigint) end), 0)::bigint as ms_after from m group by 1""")
+select version, count(*) as n, count(*) filter (where ok) as n_kept, sum(cast(round(dur * 1000) as bigint))::bigint as ms_before, coalesce(sum(case when ok then cast(round(dur * 1000) as bigint) end), 0)::bigint as ms_after from m group by 1""")
 def q_eligibility_hours(spark: SparkSession, d: str) -> DataFrame:
     m = segments(spark, d).filter("end_sec > start_sec").select("version", (F.col("end_sec") - F.col("start_sec")).alias("dur"), F.expr("coalesce(hand_coverage >= 0.6 and end_sec - start_sec >= 2, false)").alias("ok"))
     ms = F.round(F.col("dur") * 1000).cast("long")
@@ -53,7 +53,7 @@ def q_topk_count(spark: SparkSession, d: str) -> DataFrame:
     return heard(spark, d).filter(F.length(F.trim("word")) >= 4).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(50)
 
 
-@add("q_distinct_per_group", f"with {CLIPS} select word, count(*) as n_total, count_if(match_kind = 'ok') as n_ok, count_if(match_kind = 'no_match') as n_none, count(distinct video) as n_videos, count(distinct video || ':' || cast(floor(video_start) as bigint)) as n_places from clips group by 1")
+@add("q_distinct_per_group", f"with {CLIPS} select word, count(*) as n_total, count(*) filter (where match_kind = 'ok') as n_ok, count(*) filter (where match_kind = 'no_match') as n_none, count(distinct video) as n_videos, count(distinct video || ':' || cast(floor(video_start) as bigint)) as n_places from clips group by 1")
 def q_distinct_per_group(spark: SparkSession, d: str) -> DataFrame:
     place = F.concat("video", F.lit(":"), F.floor("video_start").cast("string"))
     k = F.col("match_kind")
@@ -129,13 +129,13 @@ def q_keep_largest(spark: SparkSession, d: str) -> DataFrame:
     return first_wins(runs.withColumn("o", -F.col("n")), ["user_id"], ["o", "start_at"]).select("user_id", "start_at", "end_at", "n")
 
 
-@add("q_verdicts_per_source", f"with {REV} select source, coalesce(nullif(trim(verdict, ' '), ''), '(unmarked)') as verdict, count(*) as n, count_if(trim(coalesce(signer, ''), ' ') = '') as n_unsigned from rev group by 1, 2")
+@add("q_verdicts_per_source", f"with {REV} select source, coalesce(nullif(trim(verdict, ' '), ''), '(unmarked)') as verdict, count(*) as n, count(*) filter (where trim(coalesce(signer, ''), ' ') = '') as n_unsigned from rev group by 1, 2")
 def q_verdicts_per_source(spark: SparkSession, d: str) -> DataFrame:
     v = F.coalesce(F.nullif(F.trim("verdict"), F.lit("")), F.lit("(unmarked)"))
     return review(spark, d).groupBy("source", v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim(F.coalesce("signer", F.lit(""))) == "").alias("n_unsigned"))
 
 
-@add("q_review_progress", f"with {REV} select source, count(*) as n_rows, count_if(verdict in ('y', 'n', 'neg')) as n_reviewed, count_if(verdict = 'y' and trim(coalesce(signer, ''), ' ') = '') as n_missing_signer, min(case when coalesce(verdict, '') = '' then row_no end) as next_row from rev group by 1")
+@add("q_review_progress", f"with {REV} select source, count(*) as n_rows, count(*) filter (where verdict in ('y', 'n', 'neg')) as n_reviewed, count(*) filter (where verdict = 'y' and trim(coalesce(signer, ''), ' ') = '') as n_missing_signer, min(case when coalesce(verdict, '') = '' then row_no end) as next_row from rev group by 1")
 def q_review_progress(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("verdict")
     return review(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(v.isin("y", "n", "neg")).alias("n_reviewed"), F.count_if((v == "y") & (F.trim(F.coalesce("signer", F.lit(""))) == "")).alias("n_missing_signer"), F.min(F.when(F.coalesce(v, F.lit("")) == "", F.col("row_no"))).alias("next_row"))

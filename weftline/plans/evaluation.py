@@ -52,7 +52,7 @@ def q_xcorr(spark: SparkSession, d: str) -> DataFrame:
     a = events(spark, d).groupBy("bin").agg(F.sum(F.when(F.col("event_type") == "view", F.col("value")).otherwise(0)).alias("x"), F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0)).alias("y"))
     m = a.agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
     z = beside(a, m).select("bin", ((F.col("x") - F.col("mx")) / F.col("sx")).alias("x"), ((F.col("y") - F.col("my")) / F.col("sy")).alias("y"))
-    p = z.select("x", F.explode(F.sequence(F.lit(-8), F.lit(24))).alias("lag"), F.col("bin").alias("b0")).withColumn("bin", F.col("b0") + F.col("lag"))
+    p = z.select("x", F.explode(F.sequence(F.lit(-8).cast("long"), F.lit(24).cast("long"))).alias("lag"), F.col("bin").alias("b0")).withColumn("bin", F.col("b0") + F.col("lag"))
     return p.join(z.select("bin", "y"), "bin").groupBy("lag").agg(six(F.avg(F.col("x") * F.col("y")), "r"), F.count(F.lit(1)).alias("n"))
 
 

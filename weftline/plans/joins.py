@@ -35,7 +35,7 @@ def q_manifest_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add("q_version_diff", f"""with {SEG}, a as (select * from seg where version = 'segments'), b as (select * from seg where version = 'segments_revalidated')
-select video, count_if(b.file is null) as only_in_a, count_if(a.file is null) as only_in_b, count_if(a.file is not null and b.file is not null and (a.start_frame is distinct from b.start_frame or a.end_frame is distinct from b.end_frame)) as n_disagree from a full join b using (video, file) group by 1""")
+select video, count(*) filter (where b.file is null) as only_in_a, count(*) filter (where a.file is null) as only_in_b, count(*) filter (where a.file is not null and b.file is not null and (a.start_frame is distinct from b.start_frame or a.end_frame is distinct from b.end_frame)) as n_disagree from a full join b using (video, file) group by 1""")
 def q_version_diff(spark: SparkSession, d: str) -> DataFrame:
     s = segments(spark, d)
     a = s.filter("version = 'segments'").select("video", "file", F.struct("start_frame", "end_frame").alias("a"))
@@ -44,7 +44,7 @@ def q_version_diff(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["video", "file"], "full_outer").groupBy("video").agg(F.count_if(y.isNull()).alias("only_in_a"), F.count_if(x.isNull()).alias("only_in_b"), F.count_if(x.isNotNull() & y.isNotNull() & ~x.eqNullSafe(y)).alias("n_disagree"))
 
 
-@add("q_strictest_version", f"with {SEG}, r as (select *, case version when 'segments' then 1 when 'segments_revalidated' then 2 else 3 end as k from seg), m as (select *, max(k) over (partition by video) as top from r) select video, version, count(*) as n, count_if(hand_coverage is null) as n_unknown from m where k = top group by 1, 2")
+@add("q_strictest_version", f"with {SEG}, r as (select *, case version when 'segments' then 1 when 'segments_revalidated' then 2 else 3 end as k from seg), m as (select *, max(k) over (partition by video) as top from r) select video, version, count(*) as n, count(*) filter (where hand_coverage is null) as n_unknown from m where k = top group by 1, 2")
 def q_strictest_version(spark: SparkSession, d: str) -> DataFrame:
     s = prefer_version(segments(spark, d), ["video"], "version", ["segments", "segments_revalidated", "segments_and_gate"])
     return s.groupBy("video", "version").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hand_coverage").isNull()).alias("n_unknown"))

@@ -18,7 +18,7 @@ add = CORE.add
 @add("q_round_robin", f"with {CLIPS}, s as (select *, row_number() over (partition by word, video order by video_start, file) as rn, count(*) over (partition by word, video) as size from clips), t as (select *, row_number() over (partition by word order by rn, size desc, video) as pick from s) select word, video, file, pick from t where pick <= 7")
 def q_round_robin(spark: SparkSession, d: str) -> DataFrame:
     """Up to seven clips a word, one of each video in turn."""
-    return round_robin(clips(spark, d).select("word", "video", "file", "video_start"), "word", "video", ["video_start", "file"], 7).select("word", "video", "file", "pick")
+    return round_robin(clips(spark, d).select("word", "video", "file", "video_start"), "word", "video", ["video_start", "file"], 7).select("word", "video", "file", F.col("pick").cast("long").alias("pick"))
 
 
 @add("q_cap_per_group", f"with {CLIPS} select word, file from (select word, file, row_number() over (partition by word order by video_start, file) as rn from clips) where rn <= 3")

@@ -160,7 +160,7 @@ def q_context(spark: SparkSession, d: str) -> DataFrame:
     return c.select("video", "idx", F.concat("before", F.lit(" **"), "word", F.lit("** "), "after").alias("context"))
 
 
-@add("q_lookback_flag", f"with {ASR}, f as (select video, idx, word, coalesce(bool_or(lower(trim(word, ' .,;:!?¿¡')) in ('no', 'sin', 'nunca')) over (partition by video order by idx rows between 2 preceding and 1 preceding), false) as negated from heard) select lower(trim(word, ' .,;:!?¿¡')) as w, count(*) as n, count_if(negated) as n_negated from f where word is not null group by 1 having count_if(negated) > 0")
+@add("q_lookback_flag", f"with {ASR}, f as (select video, idx, word, coalesce(bool_or(lower(trim(word, ' .,;:!?¿¡')) in ('no', 'sin', 'nunca')) over (partition by video order by idx rows between 2 preceding and 1 preceding), false) as negated from heard) select lower(trim(word, ' .,;:!?¿¡')) as w, count(*) as n, count(*) filter (where negated) as n_negated from f where word is not null group by 1 having count(*) filter (where negated) > 0")
 def q_lookback_flag(spark: SparkSession, d: str) -> DataFrame:
     """Words negated by one of the two words before them."""
     w = F.lower(F.expr("trim(BOTH ' .,;:!?¿¡' FROM word)"))
