@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from weftline.session import cut
 
-CAPACITY, ROUNDS, RATE = 2048, 160, 0.25
+#: EPSILON is how far a round may lower the logarithm of a weight.
+CAPACITY, ROUNDS, EPSILON = 2048, 240, 0.2
 #: A configuration: the lengths in a container and how often each is in it.
 Config = tuple[tuple[int, int], ...]
 
@@ -44,25 +45,26 @@ def best_config(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Count
     return config
 
 
-def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> tuple[list[tuple[Config, float]], float]:
+def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[Config, float]], float]:
     """Configurations with fractional multiplicities that cover the counts at most once over, and a lower bound on the number of containers.
 
     A length weighs the more the less of it is covered so far. Each round prices the lengths by their weights and takes
-    the configuration of the greatest price, as often as the scarcest length in it allows; the weights of its lengths
-    fall. The prices, divided by the best configuration's, are a solution of the dual, whose value bounds the containers.
+    the configuration of the greatest price, as often as covers a share of the scarcest length in it; the weights of its
+    lengths fall. The share is the smaller, the more rounds there are to a length. The prices, divided by the best configuration's, are a solution of the dual, whose value bounds the containers.
     """
     lengths = np.array(sorted(counts), np.int64)
     need = np.array([counts[int(x)] for x in lengths], float)
     at = {int(x): i for i, x in enumerate(lengths)}
     covered, bound, found = np.zeros(len(lengths)), float((lengths * need).sum()) / capacity, Counter()
+    share = min(0.25, max(0.02, 0.5 * len(lengths) / rounds))
     for _ in range(rounds):
-        weight = np.exp(-covered / rate) * lengths / capacity
+        weight = np.exp(-covered * EPSILON / share) * lengths / capacity
         config = best_config(lengths, weight, capacity)
         if not config:
             break
         bound = max(bound, float((need * weight).sum()) / sum(weight[at[x]] * k for x, k in config.items()))
         config = Counter({x: min(k, counts[x]) for x, k in config.items()})
-        step = min(need[at[x]] / k for x, k in config.items()) * rate
+        step = min(need[at[x]] / k for x, k in config.items()) * share
         found[tuple(sorted(config.items(), reverse=True))] += step
         for x, k in config.items():
             covered[at[x]] += step * k / need[at[x]]

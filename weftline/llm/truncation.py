@@ -23,6 +23,8 @@ BEGINS, BEGUN, SEEN, RARE = 100, 3, 50, 0.002
 LONGEST = 48
 CLOSERS = r"[\"'»”’)\]]*"
 TERMINAL = rf"[.!?…。！？]{CLOSERS}\s*\z"
+#: At a spike a blank behind the punctuation shows that the text went on.
+LAST_TERMINAL = rf"[.!?…。！？]{CLOSERS}\z"
 ELLIPSIS = r"(…|\.\.\.)\s*\z"
 BROKEN = r"[,;:(«¿¡“\[/–—-]\s*\z|�\s*\z"
 LAST_WORD = r"(\p{L}+)\s*\z"
@@ -72,7 +74,7 @@ def cut_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     own = df.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("\u0000")).alias("source"), F.col(text).alias("text")).filter("text is not null and trim(text) <> ''")
     end = F.right("text", F.lit(160))
     ended = own.select(
-        "key", "source", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), end.rlike(TERMINAL).alias("terminal"), end.rlike(ELLIPSIS).alias("ellipsis"),
+        "key", "source", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), end.rlike(TERMINAL).alias("terminal"), end.rlike(LAST_TERMINAL).alias("closed"), end.rlike(ELLIPSIS).alias("ellipsis"),
         end.rlike(BROKEN).alias("broken"), end.rlike("�\\s*\\z").alias("bytes_broken"), F.lower(F.regexp_extract(end, LAST_WORD, 1)).alias("word"), _open_json(F.col("text")).alias("json"),
     ).distinct()
     spikes = length_spikes(own, "source", "text")
@@ -84,7 +86,7 @@ def cut_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     limited = limited.withColumn("at", at)
     marks = limited.filter("at").groupBy("source").agg((F.avg(F.col("ellipsis").cast("int")) >= 0.5).alias("marks"))
     suspects = lookup_join(limited.filter("at or not terminal or json or bytes_broken"), marks, ["source"])
-    field = F.col("at") & F.when(F.coalesce("marks", F.lit(False)), F.col("ellipsis")).otherwise(~F.col("terminal"))
+    field = F.col("at") & F.when(F.coalesce("marks", F.lit(False)), F.col("ellipsis")).otherwise(~F.col("closed"))
     suspects = cut(suspects.withColumn("field", field))
     open_ends = suspects.filter("not field and not terminal and word <> ''")
     shown = last_words(open_ends.select("word"), word_ends(own, "text"))
