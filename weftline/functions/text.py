@@ -48,7 +48,7 @@ def strip_html(c: Column) -> Column:
     )
     for pattern, plain in steps:
         c = F.regexp_replace(c, pattern, plain)
-    return F.trim(c)
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 
 
 def between(c: Column, start: str, end: str) -> Column:
