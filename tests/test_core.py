@@ -244,3 +244,37 @@ def test_resumable_append(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+
+
+# Landmarks and predicates
+
+
+def test_landmarks(spark):
+    from weftline.operators import tensor
+
+    rng = random.Random(1)
+    pts = [("v", f, r, None if rng.random() < 0.2 else rng.random(), rng.random(), 0.0) for f in range(6) for r in range(60)]
+    df = spark.createDataFrame(pts, "video string, frame int, row_no int, x double, y double, z double")
+    assert rows(tensor.mirror(tensor.mirror(df)).select("frame", "row_no", F.round("x", 9))) == rows(df.select("frame", "row_no", F.round("x", 9)))
+    moved = df.withColumn("x", F.col("x") * 1.3 + 0.1).withColumn("y", F.col("y") * 1.3 + 0.05)
+    a, b = (tensor.body_frame(x, ["video"], True).select("frame", "row_no", F.round("x", 6), F.round("y", 6)) for x in (df, moved))
+    seen = {f for _, f, r, x, *_ in pts if r in (53, 54) and x is None}
+    keep = lambda x: [t for t in rows(x) if t[0] not in seen]
+    assert keep(a) == keep(b) and len(keep(a)) > 0
+    assert tensor.coverage(df, ["video"], (0, 42)).first()["coverage"] == 1.0
+    assert tensor.dense(df.filter("frame <> 3"), ["video"], 60).filter("frame = 3 and x is null").count() == 60
+
+
+def test_predicates(spark):
+    from weftline.functions import predicates as P
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    status = [one(P.chunk_status(F.lit(c), F.lit(n))) for c, n in ((0, 50000), (0, 100), (1, 100), (1, 50000), (0, 2000), (0, 1999))]
+    assert status == ["ok", "end_of_audio", "error", "error", "ok", "end_of_audio"]
+    assert one(P.eligible(F.lit(12.0), F.lit(None).cast("double"))) is False
+    assert one(P.blocked(F.lit("El agua fría"), F.array(F.lit("agua fria")))) is True
+    assert one(P.container_mismatch(F.lit(100.0), F.lit(3000.0), F.lit(30.0))) is False
+    days = spark.createDataFrame([("2024-05-06",)], "d string").select(F.to_date("d").alias("d"))
+    assert [r["url"] for r in P.expand_templates(days, ["a/{yyyy}{mm}", "b-{dd}"], "d").collect()] == ["a/202405", "b-06"]
+    vocab = merging.vocabulary(spark.createDataFrame([(w,) for w in "b a abc ab ñu z a".split()], "w string"), "w", 1)
+    assert [r["w"] for r in vocab.orderBy("id").collect()] == sorted("b a abc ab ñu z".split()) and [r["id"] for r in vocab.orderBy("id").collect()] == list(range(6))

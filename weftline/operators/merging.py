@@ -61,5 +61,8 @@ def prefer_version(df: DataFrame, keys: Sequence[str], version: str, precedence:
 
 def vocabulary(df: DataFrame, word: str, least: int) -> DataFrame:
     """word, id (from 0, in the words' order) and count of words seen at least so often."""
-    counted = df.groupBy(word).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & F.col(word).isNotNull())
-    return counted.withColumn("id", F.row_number().over(W.orderBy(word)).cast("long") - 1)
+    counted = df.groupBy(word).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & F.col(word).isNotNull()).withColumn("__p", F.substring(word, 1, 2))
+    # Words are ranked within their first two letters; only the list of these is sorted as a whole.
+    before = counted.groupBy("__p").count().withColumn("__off", F.coalesce(F.sum("count").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    nth = F.row_number().over(W.partitionBy("__p").orderBy(word))
+    return counted.withColumn("__n", nth).join(before, "__p").select(word, "n", (F.col("__off") + F.col("__n") - 1).cast("long").alias("id"))

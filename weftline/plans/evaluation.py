@@ -59,8 +59,8 @@ def q_xcorr(spark: SparkSession, d: str) -> DataFrame:
 _EMB = "e as (select vec_id, label, embedding::double[] as v from embeddings), q as (select * from e where vec_id % 20 = 0), s as (select q.vec_id as query, q.label as ql, e.vec_id as other, e.label as ol, round(list_cosine_similarity(q.v, e.v), 9) as sim from q join e on e.vec_id <> q.vec_id), r as (select *, row_number() over (partition by query order by sim desc, other) as rn from s)"
 
 
-def similarities(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector whose id is divisible by 20 as a query, against all vectors; the stated queries are the small side.
+def in_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 as a query q, against all other vectors: vec_id, label, v, q (query, ql, qv).
 
     The queries are packed into blocks of 256, each vector meets each block once and is scored inside the row: work is
     queries times vectors, as an exact search needs, but rows don't multiply before scoring.
@@ -70,8 +70,12 @@ def similarities(spark: SparkSession, d: str) -> DataFrame:
     blocks = q.groupBy(F.floor(F.col("vec_id") / (20 * 256)).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("v").alias("qv"))).alias("qs"))
     n = q.agg(F.max(F.floor(F.col("vec_id") / (20 * 256))).alias("last"))
     both = beside(e, n).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).join(blocks, "block")
-    hit = both.select("vec_id", "label", "v", F.explode("qs").alias("q")).filter("q.query <> vec_id")
-    return hit.select("q.query", "q.ql", F.col("vec_id").alias("other"), F.col("label").alias("ol"), F.round(cosine(F.col("q.qv"), F.col("v")), 9).alias("sim"))
+    return both.select("vec_id", "label", "v", F.explode("qs").alias("q")).filter("q.query <> vec_id")
+
+
+def similarities(spark: SparkSession, d: str) -> DataFrame:
+    """query, ql, other, ol, sim: cosine similarity of the stated queries to all other vectors."""
+    return in_blocks(spark, d).select("q.query", "q.ql", F.col("vec_id").alias("other"), F.col("label").alias("ol"), F.round(cosine(F.col("q.qv"), F.col("v")), 9).alias("sim"))
 
 
 @add("q_cosine_topk", f"with {_EMB} select query, other, round(sim, 6) as sim, rn as rank from r where rn <= 5")

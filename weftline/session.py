@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where none is named, a folder of our own."""
+    """The shared folder the cluster names in spark.checkpoint.dir; only where none is named, and only in local mode, a folder of our own."""
     named = spark.sparkContext.getCheckpointDir()
     if named:
         return named
@@ -37,7 +39,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = os.path.join(os.path.abspath(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")), ".checkpoints")
+        folder = tempfile.mkdtemp(prefix="weftline-checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
