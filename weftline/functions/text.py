@@ -86,7 +86,7 @@ def clean_label(c: Column) -> Column:
 
 def split_aliases(c: Column) -> Column:
     """The parts of a label at the commas outside brackets, trimmed, first occurrences only."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, r",(?![^(]*\))"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, r",(?![^(]*\))"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def matched_form(text: Column, forms: Column) -> Column:
