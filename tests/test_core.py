@@ -278,3 +278,10 @@ def test_predicates(spark):
     assert [r["url"] for r in P.expand_templates(days, ["a/{yyyy}{mm}", "b-{dd}"], "d").collect()] == ["a/202405", "b-06"]
     vocab = merging.vocabulary(spark.createDataFrame([(w,) for w in "b a abc ab ñu z a".split()], "w string"), "w", 1)
     assert [r["w"] for r in vocab.orderBy("id").collect()] == sorted("b a abc ab ñu z".split()) and [r["id"] for r in vocab.orderBy("id").collect()] == list(range(6))
+
+
+def test_single_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c"), (3, None), (4, "x"), (4, "y")], "k int, v string")
+    want = rows(lookup.distinct_rows(df, ["k"]))
+    assert rows(lookup.single_rows(df, ["k"])) == want == rows(lookup.single_rows(df, ["k"], max_bytes=1))
+    assert lookup.single_rows(df.limit(0), ["k"]).count() == 0

@@ -71,6 +71,23 @@ def distinct_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return picked.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
+def single_rows(df: DataFrame, keys: Sequence[str], max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """distinct_rows for wide rows of which few repeat: only rows whose key is repeated are shuffled, all others stay where they are.
+
+    The keys alone are counted first; the repeated ones are written, measured and broadcast. With too many of them for a
+    broadcast all rows go the way of distinct_rows. Null keys are a key of their own.
+    """
+    keys = list(keys)
+    twice = cut(df.groupBy(*keys).count().filter("count > 1").select(*keys, F.lit(True).alias("__twice")))
+    size = measured_bytes(twice)
+    if not size:
+        return df
+    if size > max_bytes:
+        return distinct_rows(df, keys)
+    marked = join_null_safe(df, F.broadcast(twice), keys, "left")
+    return marked.filter("__twice is null").drop("__twice").unionByName(distinct_rows(marked.filter("__twice").drop("__twice"), keys))
+
+
 def beside(df: DataFrame, one: DataFrame) -> DataFrame:
     """df with the columns of a one-row aggregate beside each row, as scalar subqueries: no join."""
     return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
