@@ -10,7 +10,7 @@ from weftline.llm.packing import CAPACITY, pack
 from weftline.llm.registry import LLM
 from weftline.llm.tokenizer import encode
 from weftline.llm.truncation import cut_texts
-from weftline.operators.lookup import distinct_rows
+from weftline.operators.lookup import single_rows
 from weftline.session import cut
 
 
@@ -39,7 +39,7 @@ def p3_words(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.add("p6_ids")
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of each document's text, one row per document."""
-    own = distinct_rows(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    own = single_rows(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
     return encode(own, "text", "ids", keep=["doc_id"])
 
 
