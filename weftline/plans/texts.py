@@ -27,9 +27,9 @@ def q_acronyms(spark: SparkSession, d: str) -> DataFrame:
 @add("q_html_strip", """with h as (select doc_id, '<html><body><h1>' || coalesce(source, '') || '</h1><script>x < 1</script><p>' || replace(replace(substr(text, 1, 400), '<', ''), '>', '') || '</p><a href="/d/' || doc_id || '">m&aacute;s</a><br/>fin</body></html>' as html from documents where text is not null and not regexp_matches(text, '[\\x00-\\x08\\x0b-\\x1f]'))
 select doc_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as heading, regexp_extract(html, 'href="([^"]*)"', 1) as href, length(regexp_replace(html, '<[^>]+>', '', 'g'))::bigint as n_bare from h""")
 def q_html_strip(spark: SparkSession, d: str) -> DataFrame:
-    """Heading, link and text length of pages made of the documents."""
-    docs = table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[\\x00-\\x08\\x0b-\\x1f]"))
-    body = F.regexp_replace(F.substring("text", 1, 400), "[<>]", "")
+    """Heading, link and text length of pages made of the documents, each with its whole text; the SQL takes 400 characters of those without control characters."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    body = F.regexp_replace("text", "[<>]", "")
     html = F.concat(F.lit("<html><body><h1>"), F.coalesce("source", F.lit("")), F.lit("</h1><script>x < 1</script><p>"), body, F.lit('</p><a href="/d/'), F.col("doc_id").cast("string"), F.lit('">m&aacute;s</a><br/>fin</body></html>'))
     h = docs.select("doc_id", html.alias("html"))
     return h.select("doc_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"), F.regexp_extract("html", 'href="([^"]*)"', 1).alias("href"), F.length(F.regexp_replace("html", "<[^>]+>", "")).cast("long").alias("n_bare"))
