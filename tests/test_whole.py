@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
+from weftline.functions import kernels
 from weftline.plans import CORE
 
 
@@ -23,3 +26,26 @@ def test_html_strip_takes_whole_texts(spark, tmp_path):
             page = f'<html><body><h1>{h}</h1><script>x < 1</script><p>{re.sub("[<>]", "", t)}</p><a href="/d/{i}">m&aacute;s</a><br/>fin</body></html>'
             want[i] = (h, f"/d/{i}", len(re.sub("<[^>]+>", "", page)))
     assert got == want and want[1][2] > 2000
+
+
+def warped(kernel, vectors):
+    """The five nearest of all others to each stated query, pair by pair."""
+    out = {}
+    for a, _, va in vectors:
+        if a % 20 == 0:
+            found = [(kernel(np.reshape(va, (-1, 4)), np.reshape(vb, (-1, 4))), b) for b, _, vb in vectors if b != a]
+            out[a] = sorted((x for x in found if x[0] is not None), key=lambda x: (x[0][-1], x[1]))[:5]
+    return out
+
+
+def test_warping_sees_all_pairs(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    ids = [*range(0, 120, 3), *range(9_990, 10_030), *range(20_000, 20_450)]
+    vectors = [(i, i % 3, [float(x) for x in rng.normal(size=64 if i % 11 else 48)]) for i in ids]
+    d = made(spark, tmp_path, "embeddings", vectors, "vec_id long, label int, embedding array<double>")
+    got = {(r["a"], r["rank"]): (r["b"], r["b_label"], r["cost"]) for r in CORE.queries["q_dtw_pairs"](spark, d).collect()}
+    want = warped(lambda a, b: (min(kernels.dtw(a, b, 10), kernels.dtw(-a, b, 10)),), vectors)
+    assert got == {(a, k): (b, b % 3, round(c, 6)) for a, best in want.items() for k, ((c,), b) in enumerate(best, 1)}
+    got = {(r["a"], r["rank"]): (r["b"], r["start"], r["end"], r["cost"]) for r in CORE.queries["q_subseq_dtw"](spark, d).collect()}
+    want = warped(lambda a, b: kernels.subsequence_dtw(a[5:11], b), vectors)
+    assert got == {(a, k): (b, s, e, round(c, 6)) for a, best in want.items() for k, ((s, e, c), b) in enumerate(best, 1)}

@@ -76,6 +76,89 @@ def subsequence_column(width: int):
     return F.pandas_udf(kernel, "start long, end long, cost double")
 
 
+def dtw_many(a: np.ndarray, bs: np.ndarray, band: int | None = None) -> np.ndarray:
+    """dtw of one sequence with each of several of one length, all at once."""
+    n, (k, m) = len(a), bs.shape[:2]
+    if not n or not m:
+        return np.full(k, np.inf)
+    cost = np.sqrt(((a[:, None, None, :] - bs.transpose(1, 0, 2)[None]) ** 2).sum(-1))
+    reach = max(band if band is not None else max(n, m), abs(n - m))
+    last = np.full((m + 1, k), np.inf)
+    last[0] = 0.0
+    for i in range(1, n + 1):
+        row = np.full((m + 1, k), np.inf)
+        for j in range(max(1, i - reach), min(m, i + reach) + 1):
+            row[j] = cost[i - 1, j - 1] + np.minimum(np.minimum(last[j - 1], last[j]), row[j - 1])
+        last = row
+    return last[m] / (n + m)
+
+
+def subsequence_many(template: np.ndarray, hays: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """subsequence_dtw of one template in each of several sequences of one length, all at once: starts, ends, costs."""
+    n, (k, m) = len(template), hays.shape[:2]
+    if n < 3 or m < 3:
+        return None
+    cost = np.sqrt(((template[:, None, None, :] - hays.transpose(1, 0, 2)[None]) ** 2).sum(-1))
+    cost[~np.isfinite(cost)] = INVALID
+    total, origin = cost[0].copy(), np.repeat(np.arange(m)[:, None], k, 1)
+    for i in range(1, n):
+        now, came = np.empty((m, k)), np.empty((m, k), np.int64)
+        now[0], came[0] = total[0] + cost[i, 0], origin[0]
+        for j in range(1, m):
+            up = total[j] < total[j - 1]
+            best, at = np.where(up, total[j], total[j - 1]), np.where(up, origin[j], origin[j - 1])
+            left = now[j - 1] < best
+            now[j], came[j] = np.where(left, now[j - 1], best) + cost[i, j], np.where(left, came[j - 1], at)
+        total, origin = now, came
+    end, each = total.argmin(0), np.arange(k)
+    return origin[end, each], end, total[end, each] / n
+
+
+def _of_one_length(vs: pd.Series, width: int):
+    """The places and the frames of the sequences of each length."""
+    by: dict[int, list[int]] = {}
+    frames = [_frames(v, width) for v in vs]
+    for i, f in enumerate(frames):
+        by.setdefault(len(f), []).append(i)
+    for at in by.values():
+        yield np.array(at), np.stack([frames[i] for i in at])
+
+
+def nearest_by_warping(width: int, k: int, band: int | None = None):
+    """A function of a block of queries (query, ql, qv) and a part of all vectors (vec_id, label, v): the k nearest of each query by banded warping; the mirrored form counts if it is nearer."""
+
+    def block(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        ids, labels, parts = refs["vec_id"].to_numpy(), refs["label"].to_numpy(), list(_of_one_length(refs["v"], width))
+        out = []
+        for query, ql, qv in zip(queries["query"], queries["ql"], queries["qv"]):
+            a, cost = _frames(qv, width), np.empty(len(ids))
+            for at, bs in parts:
+                cost[at] = np.minimum(dtw_many(a, bs, band), dtw_many(-a, bs, band))
+            cost[ids == query] = np.nan
+            out += [(ql, labels[i], query, ids[i], cost[i]) for i in np.lexsort((ids, cost))[:k] if not np.isnan(cost[i])]
+        return pd.DataFrame(out, columns=["label", "b_label", "a", "b", "cost"])
+
+    return block
+
+
+def nearest_by_part(width: int, k: int, first: int, n: int):
+    """As nearest_by_warping, for where the `n` frames from `first` of a query fit best in each vector."""
+
+    def block(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        ids, labels, parts = refs["vec_id"].to_numpy(), refs["label"].to_numpy(), list(_of_one_length(refs["v"], width))
+        out = []
+        for query, ql, qv in zip(queries["query"], queries["ql"], queries["qv"]):
+            part, cost, start, end = _frames(qv, width)[first : first + n], np.full(len(ids), np.nan), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for at, bs in parts:
+                if (got := subsequence_many(part, bs)) is not None:
+                    start[at], end[at], cost[at] = got
+            cost[ids == query] = np.nan
+            out += [(ql, labels[i], query, ids[i], start[i], end[i], cost[i]) for i in np.lexsort((ids, cost))[:k] if not np.isnan(cost[i])]
+        return pd.DataFrame(out, columns=["label", "b_label", "a", "b", "start", "end", "cost"])
+
+    return block
+
+
 def token_align_column():
     """matched: for each token of the first list the position of its partner in the second, or -1; by longest matching blocks."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from weftline.operators.lookup import beside
 from weftline.catalog import table
-from weftline.functions.kernels import dtw_column, subsequence_column, token_align_column
+from weftline.functions.kernels import nearest_by_part, nearest_by_warping, token_align_column
 from weftline.functions.vectors import cosine, iou, mirror_row, resample
 from weftline.functions.text import words
 from weftline.operators import evaluation as E
@@ -154,27 +154,35 @@ def q_resample(spark: SparkSession, d: str) -> DataFrame:
     return x.select("vec_id", F.col("k").cast("long").alias("k"), F.round("x", 5).alias("x"))
 
 
-def neighbours_of_label(spark: SparkSession, d: str) -> DataFrame:
-    """Each vector with the next of its label by id: linear in the vectors."""
+def nearest_in_blocks(spark: SparkSession, d: str, scored, schema: str, k: int) -> DataFrame:
+    """The k nearest of all other vectors to every stated query (ids divisible by 20), with their rank; of equal ones the lesser id.
+
+    Queries and vectors are dealt into parts of about 256, and each part of the one meets each of the other once. The
+    k nearest of a pair of parts are kept, so the rows to rank are k for a query and part.
+    """
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    prev = F.lag(F.struct("vec_id", "v")).over(W.partitionBy("label", F.floor(F.col("vec_id") / 10_000)).orderBy("vec_id"))
-    return e.withColumn("p", prev).filter("p is not null").select("label", F.col("p.vec_id").alias("a"), F.col("vec_id").alias("b"), F.col("p.v").alias("va"), F.col("v").alias("vb"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("v").alias("qv"))
+    parts = e.agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"), F.ceil(F.count_if(F.col("vec_id") % 20 == 0) / 256).alias("blocks"))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.greatest(n, F.lit(1)))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, so that the parts aren't put into few tasks for being small
+    qs = beside(q, parts).withColumn("block", dealt("query", F.col("blocks"))).withColumn("part", each(F.col("parts"))).drop("parts", "blocks").repartition(n, "block", "part")
+    vs = beside(e, parts).withColumn("part", dealt("vec_id", F.col("parts"))).withColumn("block", each(F.col("blocks"))).drop("parts", "blocks").repartition(n, "block", "part")
+    best = qs.groupBy("block", "part").cogroup(vs.groupBy("block", "part")).applyInPandas(scored, schema)
+    w = W.partitionBy("a").orderBy("cost", "b")
+    return best.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).withColumn("cost", F.round("cost", 6))
 
 
 @add("q_dtw_pairs")
 def q_dtw_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Banded time warping between neighbours of a label, as 16 frames of 4 numbers; the mirrored form counts if it is nearer."""
-    f = dtw_column(4, 10)
-    x = neighbours_of_label(spark, d)
-    return x.select("label", "a", "b", F.round(F.least(f("va", "vb"), f("va", F.transform("vb", lambda y: -y))), 6).alias("cost"))
+    """The five nearest of all other vectors to each stated query by banded time warping, as 16 frames of 4 numbers; the mirrored form counts if it is nearer."""
+    return nearest_in_blocks(spark, d, nearest_by_warping(4, 5, 10), "label int, b_label int, a long, b long, cost double", 5)
 
 
 @add("q_subseq_dtw")
 def q_subseq_dtw(spark: SparkSession, d: str) -> DataFrame:
-    """Where the middle third of a sequence fits best in its neighbour."""
-    f = subsequence_column(4)
-    x = neighbours_of_label(spark, d).select("label", "a", "b", f(F.slice("va", 21, 24), F.col("vb")).alias("m"))
-    return x.select("label", "a", "b", "m.start", "m.end", F.round("m.cost", 6).alias("cost"))
+    """The five of all other vectors in which the middle third of each stated query fits best, and where."""
+    return nearest_in_blocks(spark, d, nearest_by_part(4, 5, 5, 6), "label int, b_label int, a long, b long, start long, end long, cost double", 5)
 
 
 @add("q_token_align")
