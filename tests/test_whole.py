@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 
 from weftline.functions import kernels
-from weftline.plans import CORE
+from weftline.plans import CORE, common
+from weftline.plans.joins import FAMILIES
 
 
 def made(spark, folder, name, values, schema):
@@ -49,3 +51,28 @@ def test_warping_sees_all_pairs(spark, tmp_path):
     got = {(r["a"], r["rank"]): (r["b"], r["start"], r["end"], r["cost"]) for r in CORE.queries["q_subseq_dtw"](spark, d).collect()}
     want = warped(lambda a, b: kernels.subsequence_dtw(a[5:11], b), vectors)
     assert got == {(a, k): (b, s, e, round(c, 6)) for a, best in want.items() for k, ((s, e, c), b) in enumerate(best, 1)}
+
+
+def test_matched_form_keeps_all_clips(spark, tmp_path):
+    cases = [
+        ("agua", "¡Agua!", "agua"), ("agua", "las aguas frías", "aguas"), ("niño", "una NINA", "niña"), ("nino", "los\u00a0niños.", "niños"), ("trabajo", "trabajadores", None), ("casa", "casas y casa", "casa"),
+        ("dia", "a\u200bl d\u00adi\u0301a", "dia"), ("sol", "sólо", None), ("solo", "sólo-uno", "solo"), ("de la", "fin de  la,", "de la"), ("...", "...", None), ("x", None, None), (None, "x", None), ("x", "", None),
+    ]
+    d = made(spark, tmp_path, "word_times", [(str(i), "v", w, s, 0.0, 0.0, 1.0, "k") for i, (w, s, _) in enumerate(cases)], "file string, video string, word string, surface string, video_start double, word_start double, word_end double, match_kind string")
+    got = {int(r["file"]): r["form"] for r in CORE.queries["q_matched_form"](spark, d).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_matched_form_against_brute_force(spark, data):
+    def fold(x):
+        x = "".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        return re.findall(r"[^\W]+", x)
+
+    clips = {r["file"]: r for r in common.clips(spark, data).collect()}
+    got = {r["file"]: r["form"] for r in CORE.queries["q_matched_form"](spark, data).collect()}
+    families = {"".join(fold(k)): fs for k, fs in FAMILIES.items()}
+    want = {}
+    for f, r in clips.items():
+        held = fold(r["surface"])
+        want[f] = next((x for x in families.get("".join(fold(r["word"])), [r["word"]]) if (k := fold(x)) and any(held[i : i + len(k)] == k for i in range(len(held)))), None)
+    assert got == want and len(got) == len(clips)

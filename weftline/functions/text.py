@@ -90,9 +90,10 @@ def split_aliases(c: Column) -> Column:
 
 
 def matched_form(text: Column, forms: Column) -> Column:
-    """The first of `forms` that is a whole word of the text, regardless of accents and case."""
-    hay = F.concat(F.lit(" "), phrase_key(text), F.lit(" "))
-    return F.element_at(F.filter(forms, lambda f: F.contains(hay, F.concat(F.lit(" "), phrase_key(f), F.lit(" ")))), 1)
+    """The first of `forms` that is a whole word (or words) of the text, regardless of accents, case and invisible characters. Letters of other scripts stay what they are; a form without letters or digits matches nothing."""
+    key = lambda c: F.array_join(words(F.regexp_replace(F.lower(strip_accents(c)), r"\p{Cf}", "")), " ")
+    hay = F.concat(F.lit(" "), key(text), F.lit(" "))
+    return F.get(F.filter(forms, lambda f: (key(f) != "") & F.contains(hay, F.concat(F.lit(" "), key(f), F.lit(" ")))), F.lit(0))
 
 
 def prefix_alike(a: Column, b: Column) -> Column:

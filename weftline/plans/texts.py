@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from weftline.catalog import table
 from weftline.functions import text as T
 from weftline.plans.common import ASR, CLIPS, EV, REV, clips, events, heard, review
+from weftline.plans.joins import FAMILIES
 from weftline.plans.registry import CORE
 
 add = CORE.add
@@ -85,9 +86,10 @@ def q_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 @add("q_matched_form", f"with {CLIPS} select file, case when {_FOLD.format('surface')} = {_FOLD.format('word')} then word end as form from clips where regexp_full_match(surface, '[a-zA-ZáéíóúüñÁÉÍÓÚÜÑ]+') and regexp_full_match(word, '[a-zA-ZáéíóúüñÁÉÍÓÚÜÑ]+')")
 def q_matched_form(spark: SparkSession, d: str) -> DataFrame:
-    letters = r"\A[a-zA-ZáéíóúüñÁÉÍÓÚÜÑ]+\z"
-    c = clips(spark, d).filter(F.col("surface").rlike(letters) & F.col("word").rlike(letters))
-    return c.select("file", T.matched_form(F.col("surface"), F.array("word")).alias("form"))
+    """For every clip the first form of its word's family (else the word itself) that its surface holds; the SQL has only clips of plain letters and only the word."""
+    w = F.col("word")
+    families = F.create_map(*[x for k, fs in FAMILIES.items() for x in (T.fold_key(F.lit(k)), F.array(*map(F.lit, fs)))])
+    return clips(spark, d).select("file", T.matched_form(F.col("surface"), F.coalesce(families[T.fold_key(w)], F.array(w))).alias("form"))
 
 
 @add("q_visemes", f"with {CLIPS} select word, len(regexp_extract_all(translate(lower(word), 'áéíóú', 'aeiou'), '[aeiou]'))::bigint as n_vowels, len(regexp_extract_all(translate(lower(word), 'áéíóú', 'aeiou'), '[ou]'))::bigint as n_round from clips group by 1")
