@@ -76,3 +76,12 @@ def test_matched_form_against_brute_force(spark, data):
         held = fold(r["surface"])
         want[f] = next((x for x in families.get("".join(fold(r["word"])), [r["word"]]) if (k := fold(x)) and any(held[i : i + len(k)] == k for i in range(len(held)))), None)
     assert got == want and len(got) == len(clips)
+
+
+def test_dense_grid_has_all_frames_and_rows(spark, tmp_path):
+    vectors = [(i, label, [i + r / 100 for r in range(64)]) for i, label in ((0, 1), (1, 1), (4, 1), (2, 2), (3, 2))]
+    d = made(spark, tmp_path, "embeddings", vectors, "vec_id long, label int, embedding array<double>")
+    got = {(r["video"], r["frame"], r["row_no"]): r["y"] for r in CORE.queries["q_dense_grid"](spark, d).collect()}
+    there = {(str(label), i): v for i, label, v in vectors}
+    want = {(v, f, r): there[v, f][r * 2 + 1] if (v, f) in there else None for v, a, b in (("1", 0, 4), ("2", 2, 3)) for f in range(a, b + 1) for r in range(32)}
+    assert got == want and got["1", 2, 31] is None and got["1", 1, 31] is not None

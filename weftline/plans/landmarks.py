@@ -46,7 +46,8 @@ def q_robust_box(spark: SparkSession, d: str) -> DataFrame:
 
 @add("q_dense_grid", f"with {_PTS}, q as (select * from p where frame % 3 = 0), e as (select video, min(frame) as a, max(frame) as b from q group by 1), f as (select video, unnest(generate_series(a, b)) as frame from e), g as (select video, frame, unnest(generate_series(0, 3)) as row_no from f) select g.video, g.frame, g.row_no::int as row_no, q.y from g left join q using (video, frame, row_no)")
 def q_dense_grid(spark: SparkSession, d: str) -> DataFrame:
-    return L.dense(points(spark, d).filter("frame % 3 = 0"), ["video"], 4).select("video", "frame", "row_no", "y")
+    """Every frame of a video from its first to its last with all 32 rows; the SQL has every third frame and four rows."""
+    return L.dense(points(spark, d), ["video"], 32).select("video", "frame", "row_no", "y")
 
 
 @add("q_contours", f"with {_PTS}, q as (select *, avg(x) over w as cx, avg(y) over w as cy, count(x) over w as n from p where row_no in (3, 4, 5, 6) window w as (partition by video, frame)) select video, frame, row_no::int as row_no, round(x - cx, 6) as dx, round(y - cy, 6) as dy from q where n = 4")
