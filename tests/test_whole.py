@@ -85,3 +85,11 @@ def test_dense_grid_has_all_frames_and_rows(spark, tmp_path):
     there = {(str(label), i): v for i, label, v in vectors}
     want = {(v, f, r): there[v, f][r * 2 + 1] if (v, f) in there else None for v, a, b in (("1", 0, 4), ("2", 2, 3)) for f in range(a, b + 1) for r in range(32)}
     assert got == want and got["1", 2, 31] is None and got["1", 1, 31] is not None
+
+
+def test_self_pairs_has_all_clips(spark, tmp_path):
+    cases = [(f"f{i:03}", f"v{i % 3}", "agua" if i % 4 else "sol") for i in range(80)] + [("g", "v", "una"), ("h", "v", None), ("i", "w", None)]
+    values = [(f, v, w, w, 0.0, 0.0, 1.0, "k") for f, v, w in cases]
+    d = made(spark, tmp_path, "word_times", values + values[:5], "file string, video string, word string, surface string, video_start double, word_start double, word_end double, match_kind string")
+    got = sorted((r["word"], r["file_a"], r["file_b"]) for r in CORE.queries["q_self_pairs"](spark, d).collect())
+    assert got == sorted((w, a, b) for a, _, w in cases for b, _, u in cases if w is not None and w == u and a < b)

@@ -199,9 +199,15 @@ def q_range_bucket_join(spark: SparkSession, d: str) -> DataFrame:
 
 @add("q_self_pairs", f"with {CLIPS}, a as (select word, video, min(file) as file from clips group by 1, 2) select word, x.file as file_a, y.file as file_b from a x join a y using (word) where x.file < y.file")
 def q_self_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of clips of one word in different videos, one clip of each video: the input of pairwise distances, whose rows grow with the pairs of videos of a word."""
-    a = clips(spark, d).groupBy("word", "video").agg(F.min("file").alias("file"))
-    return a.select("word", F.col("file").alias("file_a")).join(a.select("word", F.col("file").alias("file_b")), "word").filter("file_a < file_b")
+    """All pairs of different clips of one word, in the same video or not: the input of pairwise distances, whose rows grow with the square of a word's clips. The SQL has one clip of each video.
+
+    The clips of a word are dealt into 16 parts by file and each part meets all clips of the word, so a frequent word is spread.
+    """
+    a = clips(spark, d).select("word", "file")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(15)))
+    x = a.select("word", F.col("file").alias("file_a"), F.pmod(F.xxhash64("file"), F.lit(16)).cast("int").alias("part"))
+    y = a.select("word", F.col("file").alias("file_b"), parts.alias("part"))
+    return x.join(y, ["word", "part"]).filter("file_a < file_b").select("word", "file_a", "file_b")
 
 
 @add("q_multi_source_words", f"with {CLIPS}, w as (select word from clips group by 1 having count(distinct video) >= 2 and count(*) > 2) select word, count(*) as n from clips semi join w using (word) group by 1")
