@@ -93,3 +93,9 @@ def test_self_pairs_has_all_clips(spark, tmp_path):
     d = made(spark, tmp_path, "word_times", values + values[:5], "file string, video string, word string, surface string, video_start double, word_start double, word_end double, match_kind string")
     got = sorted((r["word"], r["file_a"], r["file_b"]) for r in CORE.queries["q_self_pairs"](spark, d).collect())
     assert got == sorted((w, a, b) for a, _, w in cases for b, _, u in cases if w is not None and w == u and a < b)
+
+
+def test_content_words_counts_all_words(spark, tmp_path):
+    said = ["Avenida", "a\u2062venida", "\u00a0avenida,", "avenid\u00e3", "avenida\u0301", "p\u200bara", "el", "\u65e5\u672c", " ", None]
+    d = made(spark, tmp_path, "asr", [("v", i, float(i), i + 0.5, w) for i, w in enumerate(said)], "video string, idx int, start double, end_sec double, word string")
+    assert [tuple(r) for r in CORE.queries["q_content_words"](spark, d).collect()] == [("avenida", 5)]

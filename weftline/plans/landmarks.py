@@ -71,8 +71,9 @@ STOP = ("de", "la", "que", "el", "en", "los", "las", "para", "con", "una", "por"
 
 @add("q_content_words", f"with {ASR}, k as (select regexp_replace(lower(strip_accents(word)), '[^a-z0-9]', '', 'g') as w from heard where word is not null and regexp_full_match(word, '[ -~áéíóúüñÁÉÍÓÚÜÑ¿¡«»]*')) select w, count(*) as n from k where length(w) >= 3 and w not in {STOP} group by 1")
 def q_content_words(spark: SparkSession, d: str) -> DataFrame:
+    """How often each folded word is heard, without stop words; the SQL has only words of printable ASCII and Spanish letters."""
     stop = spark.createDataFrame([(s,) for s in STOP], "word string")
-    h = heard(spark, d).filter(F.col("word").rlike(r"\A[ -~áéíóúüñÁÉÍÓÚÜÑ¿¡«»]*\z"))
+    h = heard(spark, d).filter("word is not null")
     return P.content_words(h, "word", stop).groupBy(fold_key(F.col("word")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
