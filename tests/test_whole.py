@@ -99,3 +99,12 @@ def test_content_words_counts_all_words(spark, tmp_path):
     said = ["Avenida", "a\u2062venida", "\u00a0avenida,", "avenid\u00e3", "avenida\u0301", "p\u200bara", "el", "\u65e5\u672c", " ", None]
     d = made(spark, tmp_path, "asr", [("v", i, float(i), i + 0.5, w) for i, w in enumerate(said)], "video string, idx int, start double, end_sec double, word string")
     assert [tuple(r) for r in CORE.queries["q_content_words"](spark, d).collect()] == [("avenida", 5)]
+
+
+def test_vtt_cues_keeps_whole_words(spark, tmp_path):
+    said = [" ¿Qué, tal? ", "2024", "日本", "a\u0303o", "uno\n\n dos\r\ntres", "\n\nx\n", "00:00:01.000 --> 00:00:02.000", "a\u200bb", "<i>&", " ", "\t\n", "", None, "fin."]
+    d = made(spark, tmp_path, "asr", [("v", i, float(i), i + 0.5, w) for i, w in enumerate(said)], "video string, idx int, start double, end_sec double, word string")
+    got = [(r["idx"], r["start"], r["end_sec"], r["text"]) for r in CORE.queries["q_vtt_cues"](spark, d).orderBy("idx").collect()]
+    lines = [" ".join(x.strip(" \t") for x in re.split(r"[\r\n]+", w or "") if x.strip(" \t")) for w in said]
+    want = [(float(i), i + 0.5, x) for i, x in enumerate(lines) if x]
+    assert got == [(k, *x) for k, x in enumerate(want)] and len(got) == 10

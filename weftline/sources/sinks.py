@@ -23,8 +23,10 @@ def json_document(df: DataFrame, keys: Sequence[str], order: str, fields: Sequen
 
 
 def subtitles(df: DataFrame, key: str, order: str, start: str, end: str, text: str) -> DataFrame:
-    """A subtitle text per key, its cues numbered and in order; times below zero are zero."""
-    cue = F.concat_ws("\n", F.concat(clock(F.col(start)), F.lit(" --> "), clock(F.col(end))), F.col(text))
+    """A subtitle text per key, its cues numbered and in order; times below zero are zero. Blank lines within a text, which would end its cue, are left out."""
+    brk = r"[ \t]*[\r\n][ \t\r\n]*"
+    said = F.regexp_replace(F.regexp_replace(F.col(text), rf"\A{brk}|{brk}\z", ""), brk, "\n")
+    cue = F.concat_ws("\n", F.concat(clock(F.col(start)), F.lit(" --> "), clock(F.col(end))), said)
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), cue.alias("c")))), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), x["c"]))
     return df.groupBy(key).agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(lines, "\n\n"), F.lit("\n")).alias("document"))
 
