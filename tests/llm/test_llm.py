@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import os
 import random
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,16 +204,60 @@ def test_packing_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "id long, n long"), "id", "n", 100).count() == 0
 
 
-def test_plan_holds_every_item_and_its_bound_holds():
-    rng = random.Random(6)
-    counts = Counter(min(2048, int(rng.lognormvariate(5, 1)) + 1) for _ in range(20_000))
-    configs, bound = packing.plan(counts, 2048)
+def held_by(configs):
     held = Counter()
     for config, k in configs:
         assert sum(x * n for x, n in config) <= 2048
         for x, n in config:
             held[x] += n * k
-    assert held == counts and bound <= sum(k for _, k in configs) <= bound * 1.01 + 1
+    return held
+
+
+def mixed(n, seed=6):
+    rng = random.Random(seed)
+    return Counter(min(2048, int(rng.lognormvariate(5, 1)) + 1) for _ in range(n))
+
+
+@pytest.mark.parametrize("times", [1, 10, 10_000])
+@pytest.mark.parametrize("n", [300, 1_000, 20_000])
+def test_the_program_packs_and_its_gap_is_small(n, times):
+    counts = Counter({x: k * times for x, k in mixed(n).items()})
+    planned, rest, bound = packing.plan(counts, 2048)
+    assert held_by(planned + rest) == counts
+    assert held_by(planned).total() >= 0.9 * counts.total()
+    assert bound <= sum(k for _, k in planned + rest) <= bound * 1.01 + 1
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_the_program_packs_the_documents(sf):
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = f"/root/testdata/sf{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    e, sizes = tokenizer.encoder(), {}
+    for r in pq.read_table(path, columns=["doc_id", "text"]).to_pylist():
+        sizes[r["doc_id"]] = max(sizes.get(r["doc_id"], 0), len(e.encode(r["text"])))
+    counts = Counter(x for n in sizes.values() for x in [2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0))
+    planned, rest, bound = packing.plan(counts, 2048)
+    assert held_by(planned + rest) == counts and held_by(planned).total() >= 0.9 * counts.total()
+    assert sum(k for _, k in planned + rest) <= bound * 1.01 + 1
+
+
+def test_priced_configurations_are_best():
+    rng = random.Random(2)
+    for _ in range(30):
+        lengths, capacity = np.array(sorted(rng.sample(range(2, 30), 4))), 40
+        limits, prices = np.array([min(rng.randint(1, 3), capacity // x) for x in lengths]), np.array([rng.random() for _ in lengths])
+        configs, price = packing.best_configs(lengths, limits, prices, capacity)
+        every = [c for c in itertools.product(*[range(k + 1) for k in limits]) if np.dot(c, lengths) <= capacity]
+        for i, (c, p) in enumerate(zip(configs, price)):
+            room = capacity - lengths[i]
+            assert c @ lengths <= capacity and c @ prices == pytest.approx(p)
+            assert p == pytest.approx(prices[i] + max(np.dot(x, prices) for x in every if np.dot(x, lengths) <= room))
+
+
+def test_lower_bounds():
+    assert packing.lower_bound({60: 100}, 100) == 100 and packing.lower_bound({34: 90}, 100) == 45 and packing.lower_bound({50: 3, 25: 2}, 100) == 2
 
 
 # Truncation

@@ -1,8 +1,10 @@
 """Fill containers of a fixed capacity with items of varying length (problem 7).
 
 Method: a configuration linear program over the histogram of lengths, solved by multiplicative weights, whose prices
-are answered by a knapsack dynamic program; then rounded. The program knows only the histogram, which has no more rows
-than the capacity, so it is solved on the driver whatever the number of items; the items are assigned in the cluster.
+are answered by a knapsack dynamic program; then rounded: the whole parts are fixed and the program is solved anew for
+what is left, until so little is left that no phase gets on. Best fit packs only those last items. The program knows only
+the histogram, which has no more rows than the capacity, so it is solved on the driver whatever the number of items; the
+items are assigned in the cluster.
 """
 
 from __future__ import annotations
@@ -17,59 +19,93 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from weftline.session import cut
 
-#: EPSILON is how far a round may lower the logarithm of a weight.
-CAPACITY, ROUNDS, EPSILON = 2048, 240, 0.2
+CAPACITY = 2048
+#: How far a round lowers the logarithm of a weight; a column within EPSILON of the best price counts as best.
+ETA, EPSILON = 0.1, 0.04
+#: Rounds that only learn the prices; rounds of a phase; lengths that are priced together; a phase that fixes less than this share of what is left is the last.
+WARM, ROUNDS, TOGETHER, LAST = 8, 3, 32, 0.05
 #: A configuration: the lengths in a container and how often each is in it.
 Config = tuple[tuple[int, int], ...]
 
 
-def best_config(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Counter:
-    """The lengths of greatest total price that fit: an unbounded knapsack, by dynamic programming over the capacity."""
-    best, pick, n = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64), 0
-    for c in range(1, capacity + 1):
-        while n < len(lengths) and lengths[n] <= c:
-            n += 1
-        best[c] = best[c - 1]
-        if n:
-            got = best[c - lengths[:n]] + prices[:n]
-            i = int(got.argmax())
-            if got[i] > best[c]:
-                best[c], pick[c] = got[i], i
-    config, c = Counter(), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            config[int(lengths[pick[c]])] += 1
-            c -= int(lengths[pick[c]])
-    return config
-
-
-def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[Config, float]], float]:
-    """Configurations with fractional multiplicities that cover the counts at most once over, and a lower bound on the number of containers.
-
-    A length weighs the more the less of it is covered so far. Each round prices the lengths by their weights and takes
-    the configuration of the greatest price, as often as covers a share of the scarcest length in it; the weights of its
-    lengths fall. The share is the smaller, the more rounds there are to a length. The prices, divided by the best configuration's, are a solution of the dual, whose value bounds the containers.
+def best_configs(lengths: np.ndarray, limits: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each length the configuration of greatest total price that has it, and its price: a bounded knapsack by dynamic programming over the capacity, read back for all lengths at once.
+
+    A row of the result says how often each length is in the configuration; a length is in it at most `limits` times, but
+    for the row's own, which may be in it once more.
+    """
+    parts = []
+    for i, limit in enumerate(limits):
+        k, left = 1, int(limit)
+        while left > 0:
+            n = min(k, left)
+            if n * int(lengths[i]) <= capacity:
+                parts.append((i, n, n * int(lengths[i])))
+            left, k = left - n, k * 2
+    best, taken = np.zeros(capacity + 1), np.zeros((len(parts), capacity + 1), bool)
+    for row, (i, n, size) in zip(taken, parts):
+        got = best[: capacity + 1 - size] + prices[i] * n
+        np.greater(got, best[size:], out=row[size:])
+        np.maximum(got, best[size:], out=best[size:])
+    configs, room = np.eye(len(lengths), dtype=np.int64), capacity - lengths
+    for row, (i, n, size) in zip(taken[::-1], parts[::-1]):
+        here = row[room]
+        if here.any():
+            configs[here, i] += n
+            room = room - here * size
+    return configs, prices + best[capacity - lengths]
+
+
+def fractional(counts: dict[int, int], capacity: int, weights: dict[int, float], rounds: int, seed: int = 0) -> list[tuple[Config, float]]:
+    """Configurations with fractional multiplicities that cover no length more often than it is counted.
+
+    `weights` are the program's dual prices; those of lengths it doesn't have yet are in proportion to the length, and all
+    are changed in place: each round the weight of a length falls by the factor exp(-ETA) times the share of what could be
+    covered of it that was covered, so lengths that lag behind grow dear. Each round deals the lengths at random, but
+    each kind of size alike, into parts that are priced on their own, so that the configurations found don't compete for
+    the same few lengths; those within EPSILON of the best price are taken, each as far as its lengths may still be
+    covered in the round.
     """
+    rng = np.random.default_rng(seed)
     lengths = np.array(sorted(counts), np.int64)
     need = np.array([counts[int(x)] for x in lengths], float)
-    at = {int(x): i for i, x in enumerate(lengths)}
-    covered, bound, found = np.zeros(len(lengths)), float((lengths * need).sum()) / capacity, Counter()
-    share = min(0.25, max(0.02, 0.5 * len(lengths) / rounds))
-    for _ in range(rounds):
-        weight = np.exp(-covered * EPSILON / share) * lengths / capacity
-        config = best_config(lengths, weight, capacity)
-        if not config:
-            break
-        bound = max(bound, float((need * weight).sum()) / sum(weight[at[x]] * k for x, k in config.items()))
-        config = Counter({x: min(k, counts[x]) for x, k in config.items()})
-        step = min(need[at[x]] / k for x, k in config.items()) * share
-        found[tuple(sorted(config.items(), reverse=True))] += step
-        for x, k in config.items():
-            covered[at[x]] += step * k / need[at[x]]
-    scale = 1 / max(1.0, float(np.median(covered[covered > 0]))) if covered.any() else 1.0
-    return [(c, x * scale) for c, x in found.most_common()], bound
+    limits, covered, found = np.minimum(need, capacity // lengths).astype(np.int64), np.zeros(len(lengths)), Counter()
+    weight = np.array([weights.get(int(x), x / capacity) for x in lengths])
+    n_parts = -(-len(lengths) // TOGETHER)
+    for r in range(1, rounds + 1):
+        allowed = np.maximum(need * r / rounds - covered, 0)
+        first = allowed.copy()
+        price = weight * (1 + 1e-4 * rng.random(len(lengths)))
+        part = np.concatenate([rng.permutation(n_parts) for _ in range(-(-len(lengths) // n_parts))])[: len(lengths)]
+        for p in range(n_parts):
+            at = np.flatnonzero((part == p) & (allowed > 1e-9))
+            if not len(at):
+                continue
+            configs, value = best_configs(lengths[at], limits[at], price[at], capacity)
+            good = np.flatnonzero((configs <= limits[at]).all(1) & (value >= (1 - EPSILON) * value.max()))
+            for j in good[np.argsort(-value[good], kind="stable")]:
+                inside = np.flatnonzero(configs[j])
+                times, mine = configs[j, inside], at[inside]
+                step = float((allowed[mine] / times).min())
+                if step > 1e-9:
+                    allowed[mine] -= step * times
+                    covered[mine] += step * times
+                    found[tuple(zip(lengths[mine].tolist(), times.tolist()))] += step
+        weight *= np.exp(-ETA * (1 - allowed / np.maximum(first, 1e-9)))
+        weight /= weight.sum()
+    weights.update(zip(lengths.tolist(), weight.tolist()))
+    return found.most_common()
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """The least number of containers that any packing needs, by solutions of the program's dual: the sizes themselves, and the classical step functions that count how many items above the k-th part of the capacity go together."""
+    x, n = np.array(sorted(counts), np.int64), np.array([counts[k] for k in sorted(counts)], np.int64)
+    best = -(-int((x * n).sum()) // capacity)
+    for k in range(1, 21):
+        whole = (k + 1) * x % capacity == 0
+        value = np.where(whole, (k + 1) * x / capacity / (k + 1), ((k + 1) * x // capacity) / k)
+        best = max(best, int(np.ceil(float((value * n).sum()) - 1e-6)))
+    return best
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
@@ -123,31 +159,32 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
     return sorted(out.items(), reverse=True)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Config, int]], int]:
-    """Configurations and how many containers are filled by each, together holding exactly the counted items; and a lower bound on the containers.
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Config, int]], list[tuple[Config, int]], int]:
+    """The containers filled by the program, those filled by best fit with what it left over, and a lower bound on their number; a container is given by its configuration, with how many there are. Together they hold exactly the counted items.
 
-    Multiplicities of the linear program are rounded down as far as items are left; what remains is filled by best fit.
-    Of this and a plan by best fit alone, the one with fewer containers is taken.
+    Each phase solves the program for the items left and rounds: multiplicities are added up from the greatest on, and a
+    configuration is fixed as often as the sum passes whole numbers, so that a tenth of ten configurations becomes one of
+    them; only where its items are still there. Phases end when one fixes less than LAST of the items left.
     """
-    counts = {x: n for x, n in counts.items() if n > 0}
-    if not counts:
-        return [], 0
-    configs, bound = fractional(counts, capacity)
-    left, out = Counter(counts), []
-    for config, x in configs:
-        k = min([int(x), *(left[i] // n for i, n in config)])
-        if k > 0:
-            out.append((config, k))
-            for i, n in config:
-                left[i] -= k * n
-    out += best_fit({x: n for x, n in left.items() if n}, capacity)
-    alone = best_fit(counts, capacity)
-    out = min(out, alone, key=lambda p: sum(k for _, k in p))
-    return out, int(np.ceil(bound - 1e-6))
+    left, out, weights = Counter({x: n for x, n in counts.items() if n > 0}), [], {}
+    fractional(left, capacity, weights, WARM)
+    while left:
+        before, carry = left.total(), 0.5
+        for config, x in fractional(left, capacity, weights, ROUNDS, len(out)):
+            carry += x
+            k = min([int(carry), *(left[i] // n for i, n in config)])
+            carry -= int(carry)
+            if k > 0:
+                out.append((config, k))
+                left.subtract({i: n * k for i, n in config})
+        left = +left
+        if before - left.total() < LAST * before:
+            break
+    return out, best_fit(left, capacity), lower_bound(counts, capacity) if counts else 0
 
 
 def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> DataFrame:
-    """Assign each item to a container: key, piece, begin, size, container (from 0).
+    """Assign each item to a container: key, piece, begin, size, container (from 0), planned (whether the program filled the container, or best fit).
 
     An item larger than the capacity is split into pieces of the capacity and a rest; no other item is split. Items of
     size null or <= 0 are one piece of size 0 and go to any container (0 if there is no other). Repeated rows count
@@ -164,11 +201,11 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     pieces = own.select("key", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"), "n")
     pieces = pieces.select("key", "piece", (F.col("piece").cast("long") * capacity).alias("begin"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece").cast("long") * capacity).cast("int").alias("size"))
     histogram = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}
-    configs, _ = plan({x: n for x, n in histogram.items() if x > 0}, capacity)
-    total = sum(k for _, k in configs)
+    planned, rest, _ = plan({x: n for x, n in histogram.items() if x > 0}, capacity)
+    total, n_planned = sum(k for _, k in planned + rest), sum(k for _, k in planned)
     # Per length the ranges of ranks that each configuration takes: length, first rank, first container, items a container.
     first, slots, base = Counter(), [], 0
-    for config, k in configs:
+    for config, k in planned + rest:
         for x, n in config:
             slots.append((x, first[x], base, n))
             first[x] += n * k
@@ -195,4 +232,4 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     kind = sizes.schema[key].dataType.simpleString()
     packed = ranked.mapInArrow(assign, f"key {kind}, piece int, begin long, size int, container long")
     empty = pieces.filter("size <= 0").select("key", "piece", "begin", "size", F.pmod(F.xxhash64("key"), F.lit(max(1, total))).cast("long").alias("container"))
-    return packed.unionByName(empty).select(F.col("key").alias(key), "piece", "begin", "size", "container")
+    return packed.unionByName(empty).select(F.col("key").alias(key), "piece", "begin", "size", "container", (F.col("container") < n_planned).alias("planned"))

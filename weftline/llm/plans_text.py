@@ -55,9 +55,9 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 @LLM.add("p7_fill")
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """How many containers there are, the tokens in them, the share of unused space, and the least number of containers by size alone."""
-    used = pack(sizes(spark, folder), "doc_id", "n_tokens", CAPACITY).groupBy("container").agg(F.sum("size").alias("used"))
-    totals = used.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
+    """How many containers there are and how many of them the program filled, the tokens in them, the share of unused space, and the least number of containers by size alone."""
+    used = pack(sizes(spark, folder), "doc_id", "n_tokens", CAPACITY).groupBy("container", "planned").agg(F.sum("size").alias("used"))
+    totals = used.agg(F.count(F.lit(1)).alias("n_containers"), F.count_if("planned").alias("n_planned"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
     return totals.withColumn("n_least", F.ceil(F.col("n_tokens") / CAPACITY)).withColumn("unused", 1 - F.col("n_tokens") / (F.col("n_containers") * CAPACITY))
 
 
