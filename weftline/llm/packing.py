@@ -167,7 +167,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[C
     them; only where its items are still there. Phases end when one fixes less than LAST of the items left.
     """
     left, out, weights = Counter({x: n for x, n in counts.items() if n > 0}), [], {}
-    fractional(left, capacity, weights, WARM)
+    if left:
+        fractional(left, capacity, weights, WARM)
     while left:
         before, carry = left.total(), 0.5
         for config, x in fractional(left, capacity, weights, ROUNDS, len(out)):
