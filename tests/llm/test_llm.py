@@ -303,3 +303,19 @@ def test_truncation(spark):
     spikes = {(r["source"], r["unit"], r["limit"]) for r in truncation.length_spikes(df, "source", "text").collect()}
     assert {("chars", "chars", 200), ("bytes", "bytes", 300), ("marked", "chars", 150)} <= spikes
     assert truncation.cut_texts(df.limit(0), "doc_id", "source", "text").count() == 0
+
+
+def test_copies_make_no_spike(spark):
+    docs = [(i, "s", f"La escuela observa la tierra {'muy ' * (i % 9)}lejana {i}.") for i in range(200)] + [(900, "s", "La escuela observa " + "la tierra y el camino " * 9 + "lejano")]
+    mk = lambda x: spark.createDataFrame(x, "doc_id long, source string, text string")
+    for copies in (docs + docs[-1:] * 2, docs + [(901 + i, *docs[-1][1:]) for i in range(3)]):
+        assert truncation.cut_texts(mk(copies), "doc_id", "source", "text").count() == 0
+        assert truncation.length_spikes(mk(copies), "source", "text").filter("limit > 200").count() == 0
+
+
+def test_ends_of_any_length(spark):
+    long = "abcdefghij" * 7
+    texts = {0: f"Dijo {long}. " * 3 + "Fin.", 1: f"Dijo {long[:60]}", 2: f"Dijo {long[:30]}", 3: "Fin." + " " * 400, 4: "Ya. " + "ñ" * 400, 5: f"{'x' * 400}" + "," + " " * 300, 6: "Fin." + ")" * 300, 7: f"Dijo {long}"}
+    df = spark.createDataFrame([(k, "s", t) for k, t in texts.items()], "doc_id long, source string, text string")
+    got = {r["doc_id"]: r["why"] for r in truncation.cut_texts(df, "doc_id", "source", "text").collect()}
+    assert got == {1: "word", 2: "word", 5: "sentence"}

@@ -19,21 +19,30 @@ LEAST, STEEP, WIDTH, ABOVE = 3, 6.0, 32, 0.2
 SHORT, LONG = 3, 2
 #: A last word is a beginning if a longer word is seen so many times as often; a word seen SEEN times of which less than RARE end a sentence ends none.
 BEGINS, BEGUN, SEEN, RARE = 100, 3, 50, 0.002
-#: Words longer than this are nobody's beginnings.
+#: All beginnings of words up to this length are counted; of longer words, those as long as a last word that begins alike.
 LONGEST = 48
-CLOSERS = r"[\"'»”’)\]]*"
-TERMINAL = rf"[.!?…。！？]{CLOSERS}\s*\z"
+#: An end is told by this many characters, unless they are one word or one run of closing signs and blanks; then by the whole text.
+TAIL = 160
+CLOSERS = r"[\"'»”’)\]]*+"
+TERMINAL = rf"[.!?…。！？]{CLOSERS}\s*+\z"
 #: At a spike a blank behind the punctuation shows that the text went on.
 LAST_TERMINAL = rf"[.!?…。！？]{CLOSERS}\z"
-ELLIPSIS = r"(…|\.\.\.)\s*\z"
-BROKEN = r"[,;:(«¿¡“\[/–—-]\s*\z|�\s*\z"
-LAST_WORD = r"(\p{L}+)\s*\z"
+ELLIPSIS = r"(…|\.\.\.)\s*+\z"
+BROKEN = r"[,;:(«¿¡“\[/–—-]\s*+\z|�\s*+\z"
+LAST_WORD = r"(?<!\p{L})(\p{L}++)\s*+\z"
+UNDECIDED = rf"(?s)\A.{{0,3}}\p{{L}}*+{CLOSERS}\s*+\z"
 
 
 def length_spikes(df: DataFrame, source: str, text: str) -> DataFrame:
-    """source, unit ('chars' or 'bytes'), limit, n: where the lengths of a source's texts heap up at their maximum. Empty and null texts don't count."""
-    lengths = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.char_length(text).alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("length"))))
-    counts = df.filter(F.char_length(text) > 0).select(F.col(source).alias("source"), lengths.alias("l")).groupBy("source", "l.unit", "l.length").agg(F.count(F.lit(1)).alias("n"))
+    """source, unit ('chars' or 'bytes'), limit, n: where the lengths of a source's texts heap up at their maximum. Empty and null texts don't count, and copies of a text count once."""
+    own = df.filter(F.char_length(text) > 0).select(F.col(source).alias("source"), F.char_length(text).alias("chars"), F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("text"))
+    return _spikes(own)
+
+
+def _spikes(lengths: DataFrame) -> DataFrame:
+    """length_spikes of source, chars, bytes and text, a hash."""
+    each = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
+    counts = lengths.select("source", "chars", "bytes", "text").distinct().select("source", each.alias("l")).groupBy("source", "l.unit", "l.length").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("source", "unit").orderBy("length")
     near = counts.withColumn("below", F.coalesce(F.sum("n").over(w.rangeBetween(-WIDTH, -1)), F.lit(0)) / WIDTH).withColumn("longer", F.coalesce(F.sum("n").over(w.rowsBetween(1, W.unboundedFollowing)), F.lit(0)))
     spikes = near.filter((F.col("n") >= LEAST) & (F.col("n") >= STEEP * F.col("below")) & (F.col("longer") <= ABOVE * F.col("n")))
@@ -50,9 +59,11 @@ def word_ends(df: DataFrame, text: str) -> DataFrame:
 
 def last_words(words: DataFrame, ends: DataFrame) -> DataFrame:
     """word, why of the given last words that show a cut: 'word' for a word broken off, 'sentence' for one that ends no sentence."""
-    long = ends.filter((F.char_length("word") <= LONGEST) & (F.col("n") >= BEGUN))
-    starts = long.select(F.explode(F.sequence(F.lit(1), F.char_length("word") - 1)).alias("k"), "word", "n").filter("k > 0").select(F.expr("left(word, k)").alias("word"), "n")
-    longer = starts.groupBy("word").agg(F.max("n").alias("n_longer"))
+    known = ends.filter(F.col("n") >= BEGUN).withColumn("size", F.char_length("word"))
+    starts = known.filter("size > 1").select(F.explode(F.sequence(F.lit(1), F.least(F.col("size") - 1, F.lit(LONGEST)))).alias("k"), "word", "n")
+    beyond = words.filter(F.char_length("word") > LONGEST).select(F.left("word", F.lit(LONGEST)).alias("head"), F.char_length("word").alias("k")).distinct()
+    far = known.filter(F.col("size") > LONGEST + 1).withColumn("head", F.left("word", F.lit(LONGEST))).join(beyond, "head").filter("k < size").select("k", "word", "n")
+    longer = starts.unionByName(far).select(F.expr("left(word, k)").alias("word"), "n").groupBy("word").agg(F.max("n").alias("n_longer"))
     known = words.distinct().join(longer, "word", "left").join(ends, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     why = F.when(F.col("n_longer") >= F.greatest(F.lit(BEGUN), F.col("n") * BEGINS), "word").when((F.col("n") >= SEEN) & (F.col("n_terminal") < RARE * F.col("n")), "sentence")
     return known.select("word", why.alias("why")).filter("why is not null")
@@ -72,12 +83,13 @@ def cut_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     cut, nor are those that end in digits, links or signs.
     """
     own = df.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("\u0000")).alias("source"), F.col(text).alias("text")).filter("text is not null and trim(text) <> ''")
-    end = F.right("text", F.lit(160))
-    ended = own.select(
-        "key", "source", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), end.rlike(TERMINAL).alias("terminal"), end.rlike(LAST_TERMINAL).alias("closed"), end.rlike(ELLIPSIS).alias("ellipsis"),
+    tail = F.right("text", F.lit(TAIL))
+    end = F.when(tail.rlike(UNDECIDED), F.col("text")).otherwise(tail)
+    ended = cut(own.select(
+        "key", "source", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text"), end.rlike(TERMINAL).alias("terminal"), end.rlike(LAST_TERMINAL).alias("closed"), end.rlike(ELLIPSIS).alias("ellipsis"),
         end.rlike(BROKEN).alias("broken"), end.rlike("�\\s*\\z").alias("bytes_broken"), F.lower(F.regexp_extract(end, LAST_WORD, 1)).alias("word"), _open_json(F.col("text")).alias("json"),
-    ).distinct()
-    spikes = length_spikes(own, "source", "text")
+    ).distinct())
+    spikes = _spikes(ended)
     limits = spikes.groupBy("source").agg(F.max(F.when(F.col("unit") == "chars", F.col("limit"))).alias("max_chars"), F.max(F.when(F.col("unit") == "bytes", F.col("limit"))).alias("max_bytes"))
     # A limit in characters heaps up bytes as well where texts are ASCII; then the characters' limit explains both.
     limits = limits.withColumn("max_bytes", F.when(F.col("max_chars").isNull() | (F.col("max_chars") != F.col("max_bytes")), F.col("max_bytes")))
