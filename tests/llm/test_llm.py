@@ -56,13 +56,13 @@ def test_compositions_follow_unicode():
 # Nearest time
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_nearest_within(spark, hot):
+@pytest.mark.parametrize(("crowded", "pairs"), [(256, 1 << 22), (1, 7), (0, 1)])
+def test_nearest_within(spark, crowded, pairs):
     rng = random.Random(4)
     left = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), *[round(rng.uniform(-3, 9), 3)] * 8]), f"l{i}") for i in range(150)]
     right = [(rng.choice("ab"), round(rng.uniform(-3, 9), 2), f"r{i}") for i in range(120)] + [("a", 1.0, "r900"), ("a", 1.0, "r901"), ("a", None, "r902")]
     mk = lambda x: spark.createDataFrame(x + x[:20], "entity string, time double, key string")
-    got = {r[0]: r[1] for r in nearest_within(mk(left), mk(right), 0.15, hot).collect()}
+    got = {r[0]: r[1] for r in nearest_within(mk(left), mk(right), 0.15, crowded, pairs).collect()}
     want = {}
     for e, t, k in left:
         c = [(round(abs(u - t), 9), u, rk) for f, u, rk in right if f == e and u is not None and t is not None and t == t and abs(u - t) <= 0.15 + 1e-9]
@@ -71,6 +71,13 @@ def test_nearest_within(spark, hot):
     assert {k: v for k, v in got.items()} == want
 
 
+def test_nearest_in_a_crowded_bucket(spark):
+    left = spark.range(3000).select(F.lit("a").alias("entity"), (F.col("id") * 1e-5).alias("time"), F.concat(F.lit("l"), F.col("id")).alias("key"))
+    right = spark.range(3000).select(F.lit("a").alias("entity"), (F.col("id") * 1e-5 + 2e-6).alias("time"), F.concat(F.lit("r"), F.col("id")).alias("key"))
+    got = nearest_within(left, right, 0.15, pairs_a_part=1 << 16)
+    assert got.count() == 3000 and got.filter("substr(left_key, 2) <> substr(right_key, 2)").count() == 0
+
+
 def test_nearest_of_nothing(spark):
     none = spark.createDataFrame([], "entity string, time double, key string")
     assert nearest_within(none, none, 1.0).count() == 0

@@ -8,45 +8,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.operators.lookup import measured_bytes
-from weftline.operators.temporal import nearest
+from weftline.operators.lookup import lookup_join
 from weftline.session import cut
 
 #: Times are doubles; differences beyond the tolerance by no more than this still count.
 SLACK = 1e-9
-#: A bucket with more right rows than this is hot: its rows are paired by sorted neighbours, which looks at no pairs.
-HOT = 4096
+#: A bucket with more right times than CROWDED is counted; its left rows are dealt into parts of at most PAIRS pairs each.
+CROWDED, PAIRS = 256, 1 << 22
 
 
-def nearest_within(left: DataFrame, right: DataFrame, tolerance: float, hot: int = HOT) -> DataFrame:
+def nearest_within(left: DataFrame, right: DataFrame, tolerance: float, crowded: int = CROWDED, pairs_a_part: int = PAIRS) -> DataFrame:
     """left_key, right_key of each left record with a right record of its entity at most `tolerance` away, the nearest one.
 
     left: entity, time, key; right: the same. Repeated rows count once. Records with a null or NaN time or a null entity
     have no partner. Ties: the earlier right record, then the least key. Equal right times of an entity are reduced to
-    one row before anything is joined. A left record looks at three buckets; a bucket with more than `hot` right rows
-    is left to the sorted-neighbours join, so that pairs stay few however the rows are spread; nothing is dropped.
+    one row before anything is joined. A left record looks at three buckets. Where many records crowd into one bucket,
+    its left records are dealt into parts by a hash of their keys and its right times are repeated for each part, so that
+    no task has more than about `pairs_a_part` pairs of a bucket to look at; every pair is still looked at.
     """
     width = tolerance + 2 * SLACK
     sound = "entity is not null and time is not null and not isnan(time)"
     bucket = F.floor(F.col("time") / F.lit(width)).cast("long").alias("bucket")
+    at = ["entity", "bucket"]
     own = left.filter(sound).select("entity", "time", F.col("key").alias("left_key"), bucket).distinct()
-    others = right.filter(sound).select("entity", "time", "key", bucket)
-    crowded = cut(others.groupBy("entity", "bucket").count().filter(F.col("count") > hot).select("entity", "bucket"))
-    points = others.groupBy("entity", "bucket", "time").agg(F.min("key").alias("right_key"))
+    points = right.filter(sound).select("entity", "time", "key", bucket).groupBy(*at, "time").agg(F.min("key").alias("right_key"))
     spread = own.withColumn("bucket", F.explode(F.expr("sequence(bucket - 1, bucket + 1)")))
-    any_hot = not crowded.isEmpty()
-    if any_hot:
-        marks = F.broadcast(crowded) if measured_bytes(crowded) < 8 << 20 else crowded
-        cold, spread_cold = points.join(marks, ["entity", "bucket"], "left_anti"), spread.join(marks, ["entity", "bucket"], "left_anti")
-    else:
-        cold, spread_cold = points, spread
-    r = cold.withColumnRenamed("time", "right_time")
-    pairs = spread_cold.join(r, ["entity", "bucket"]).withColumn("d", F.abs(F.col("right_time") - F.col("time")))
-    pairs = pairs.filter(F.col("d") <= tolerance + SLACK).select("left_key", "d", "right_time", "right_key")
-    if any_hot:
-        near_own = spread.join(marks, ["entity", "bucket"], "left_semi").drop("bucket").distinct()
-        near_points = points.join(marks, ["entity", "bucket"], "left_semi").withColumnRenamed("time", "right_time")
-        got = nearest(near_own, near_points, ["entity"], "time", "right_time", ["right_key"], width / 256, tolerance + SLACK).filter("match is not null")
-        pairs = pairs.unionByName(got.select("left_key", F.abs(F.col("match.t") - F.col("time")).alias("d"), F.col("match.t").alias("right_time"), F.col("match.right_key").alias("right_key")))
+    others = points.withColumnRenamed("time", "right_time")
+    many = cut(points.groupBy(*at).agg(F.count(F.lit(1)).alias("n_right")).filter(F.col("n_right") > crowded))
+    if not many.isEmpty():
+        loads = lookup_join(spread.groupBy(*at).agg(F.count(F.lit(1)).alias("n_left")), many, at, how="inner", written=True)
+        parts = cut(loads.select(*at, F.ceil(F.col("n_left") * F.col("n_right") / pairs_a_part).cast("int").alias("parts")).filter("parts > 1"))
+        n = F.coalesce("parts", F.lit(1))
+        spread = lookup_join(spread, parts, at, written=True).withColumn("part", F.pmod(F.xxhash64("left_key"), n).cast("int")).drop("parts")
+        others = lookup_join(others, parts, at, written=True).withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
+        at = [*at, "part"]
+    pairs = spread.join(others, at).withColumn("d", F.abs(F.col("right_time") - F.col("time"))).filter(F.col("d") <= tolerance + SLACK)
     best = pairs.groupBy("left_key").agg(F.min(F.struct("d", "right_time", "right_key")).alias("m"))
     return best.select("left_key", F.col("m.right_key").alias("right_key"))
