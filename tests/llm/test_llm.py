@@ -32,6 +32,7 @@ WORDS = {
     "hola": "hola", "hоla": "hola", "ｈｏｌａ": "hola", "ho​la": "hola", "﻿hola": "hola", " hola": " hola", " hola": " hola", "HOLA": "HOLA", "ＨOLA": "HOLA",
     "café": "café", "café": "café", "сасе": "cace", "Жук": "Жук", "привет": "привет", "λόγος": "λόγος", "5ª": "5ª", "m²": "m²", "½": "½", "№7": "№7", "Łódź": "Łódź", "ñu": "ñu",
     "agrı́cola": "agrícola", "І́ntegro": "Íntegro", "oﬁcina": "oficina", "ex‐director": "ex-director", "​": "", "": "", "日本": "日本", "у": "y", "canciόn": "canción", "¿qué?": "¿qué?", "año": "año",
+    "𝐡𝐨𝐥𝐚": "hola", "ℎola": "hola", "Ꭺgua": "Agua", "Ⅳ": "IV", "ꓮgua": "Agua", "օlա": "olw", "casa": "casa", "𝟏𝟐": "12", "٣": "٣", "ⓗola": "ⓗola", "ʰola": "ʰola", "ɑgua": "ɑgua", "㏄": "㏄", "ΧΡ": "XP", "γεια": "γεια", "Рим": "Рим",
 }
 
 
@@ -48,9 +49,18 @@ def test_canonical_forms_of_nothing_and_long_text(spark):
     assert lookalikes.canonical_forms(df.limit(0), "word", "c").count() == 0
 
 
+def test_look_alikes_are_single_letters(spark):
+    letters, latin = lookalikes.look_alike_letters()
+    assert len(letters) == len(latin) == len(set(letters)) > 300 and all(unicodedata.normalize("NFD", c)[0].isascii() for c in latin)
+    like = dict(zip(letters, latin))
+    assert "".join(like[c] for c in "АВЕЅІЈКМНОРСТУХԌԚԜѐЁЇаеѕіјорсухһԁԛԝѵёї") == "ABESIJKMHOPCTYXGQWèËÏaesijopcyxhdqwvëï"
+    assert "".join(like[c] for c in "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΆΈΊΌΎανιορυχϲϳάίόύϊϋ") == "ABEZHIKMNOPTYXÁÉÍÓÝaviopuxcjáíóúïü"
+    one, more = lookalikes.printed_forms()
+    assert all(len(x) == 1 for x in one.values()) and not set("ªº²½№™") & {*one, *more}
+
+
 def test_compositions_follow_unicode():
     assert all(unicodedata.normalize("NFC", a) == b for a, b in lookalikes.composed_pairs())
-    assert len(lookalikes.CYRILLIC[0]) == len(lookalikes.CYRILLIC[1]) and len(lookalikes.GREEK[0]) == len(lookalikes.GREEK[1])
 
 
 # Nearest time
