@@ -121,6 +121,69 @@ def test_an_abbreviation_that_fits_two_people_links_neither(spark):
     assert names.link_spellings(df, "s").select("person").distinct().count() == 3
 
 
+LINKED = [
+    ("Hernández Ruiz Xóchitl", "Xóchitl Hernández Ruiz"), ("Mai Nguyen Thi", "Nguyen Thi Mai"), ("Bob Miller", "Robert Miller"), ("Nachito Soto", "Ignacio Soto Rivas"), ("Itzel Ramos Ortiz", "Ramos Ortiz, Itzel"),
+    ("Ixchel Tzul Poot", "ixchel tzull poot"), ("Ixchel Tzul Poot", "I. Tzul P."), ("Yaretzi Uc Cocom", "Cocom Yaretzi Uc"), ("Nayeli Kumul Dzib", "Nayeli Dzib Kumul"),
+]
+APART = [("Xóchitl Hernández Ruiz", "Yaretzi Hernández Ruiz"), ("Itzel Ramos Ortiz", "Itzel Tzul Poot"), ("Ana Uc", "Eva Uc"), ("R. Jovilga Tarbelo", "M. Jovilga Tarbelo")]
+
+
+def test_names_that_no_list_knows(spark):
+    people = lambda pairs: {r[0]: r[1] for r in names.link_spellings(spark.createDataFrame([(x,) for p in pairs for x in p], "s string"), "s").collect()}
+    linked, apart = people(LINKED), people(APART)
+    assert [p for p in LINKED if linked[p[0]] != linked[p[1]]] == [] == [p for p in APART if apart[p[0]] == apart[p[1]]]
+
+
+def test_typings_of_an_ambiguous_abbreviation_are_linked(spark):
+    said = ["Rosario Jovilga Corlmagui", "Refugio Jovilga Tarbelo", "R. Jovilga", "R. Jovillga", "r jovilga"]
+    got = {r[0]: r[1] for r in names.link_spellings(spark.createDataFrame([(x,) for x in said], "s string"), "s").collect()}
+    assert len(set(got.values())) == 3 and len({got[x] for x in said[2:]}) == 1
+
+
+def planted(n, seed=5):
+    """Spellings of invented people, by kind, with who is meant."""
+    rng = random.Random(seed)
+    part = lambda k: "".join(rng.choice(("tz", "k", "ch", "n", "m", "l", "x", "p", "t", "b", "y")) + rng.choice("aeiou") for _ in range(k))
+    given, surnames = [part(3) for _ in range(max(8, n // 6))], [part(rng.choice((3, 4))) for _ in range(n)]
+    people = list({(rng.choice(given), rng.choice(surnames), rng.choice(surnames)) for _ in range(n)})
+
+    def slip(w):
+        i = rng.randrange(1, len(w) - 1)
+        return rng.choice((w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :] if i > 1 else w[:i] + w[i + 1 :]))
+
+    out = {}
+    for who, (g, f, s) in enumerate(people):
+        typo = [g, f, s]
+        k = rng.randrange(3)
+        typo[k] = slip(typo[k])
+        for kind, text in (("full", f"{g} {f} {s}"), ("typo", " ".join(typo)), ("order", f"{f} {s} {g}"), ("comma", f"{f} {s}, {g}"), ("abbreviation", f"{g[0]}. {f} {s[0]}."), ("short", f"{g} {f}")):
+            out.setdefault(text.title(), (who, kind))
+    return out
+
+
+def test_names_held_out_of_every_list(spark):
+    every = planted(150)
+    got = {r[0]: r[1] for r in names.link_spellings(spark.createDataFrame([(x,) for x in every], "s string"), "s").collect()}
+    full = {who: got[x] for x, (who, kind) in every.items() if kind == "full"}
+    right, n = Counter(), Counter()
+    for x, (who, kind) in every.items():
+        if kind != "full" and who in full:
+            n[kind] += 1
+            right[kind] += got[x] == full[who]
+    told = {k: round(right[k] / n[k], 3) for k in n}
+    print(told)
+    assert sum(right.values()) >= 0.9 * sum(n.values()), told
+    assert len(set(full.values())) >= 0.97 * len(full)
+
+
+def test_batches_compare_as_single_pairs():
+    rng = random.Random(3)
+    a, b = (["".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))) for _ in range(500)] for _ in range(2))
+    assert names.jaro_winkler_many(a, b) == pytest.approx([names.jaro_winkler(x, y) for x, y in zip(a, b)])
+    assert names.slips_many(a, b).tolist() == [names.slips(x, y) for x, y in zip(a, b)]
+    assert names.jaro_winkler_many(["x" * 90], ["x" * 89]) == pytest.approx([names.jaro_winkler("x" * 90, "x" * 89)])
+
+
 def test_names_of_nothing(spark):
     assert names.link_spellings(spark.createDataFrame([], "s string"), "s").count() == 0
     odd = spark.createDataFrame([("123",), ("...",), ("日本",), ("x" * 5000,)], "s string")

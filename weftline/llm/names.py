@@ -1,20 +1,24 @@
 """Link the spellings of names typed by people that mean the same person (problem 5).
 
-Method: spellings are read into given name, initial and surnames; profiles are blocked by phonetic codes of their sorted
-tokens, compared by Jaro-Winkler with a table of nicknames, and accepted pairs are clustered by connected components.
+Method: spellings are read into tokens; profiles are blocked by phonetic codes of their sorted tokens, compared by
+Jaro-Winkler with a table of nicknames, and accepted pairs are clustered by connected components. No list of names says
+which token is a given name: tokens are compared as sets, whatever their order, and what a corpus itself shows of a word
+(how often it is written, whether it stands between others) is counted.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+from weftline.llm.blocks import join_in_blocks
 from weftline.llm.components import connected_components
 from weftline.operators.lookup import lookup_join
 from weftline.session import cut
@@ -22,18 +26,7 @@ from weftline.session import cut
 # Forms of address and marks that are no part of a name.
 TITLES = set("int interprete lic licda mtro mtra maestro maestra prof profa profr profra dr dra ing arq sr sra srta don dona lsm".split())
 PARTICLES = set("de del la las los".split())
-# Common given names in Spanish, without accents.
-GIVEN = set(
-    """abril adriana agustin alberto alejandra alejandro alfonso alfredo alicia alma ana andrea andres angel angela angeles antonia antonio armando arturo
-    aurora beatriz bernardo blanca carlos carmen carolina catalina cecilia cesar claudia concepcion consuelo cristina daniel daniela dario david diana diego dolores
-    eduardo elena elisa emilia emilio enrique ernesto esperanza esteban esther eugenia eva felipe fernanda fernando francisca francisco gabriel gabriela gerardo gloria
-    graciela gregorio guadalupe guillermo gustavo hector hortensia hugo ignacio ines irene isabel ivan jaime javier jesus joaquin jorge jose josefina juan juana
-    julia julian julio karina laura leonardo leticia lorena lorenzo lourdes lucia luis luisa luz manuel manuela marcela marcos margarita maria mario marta martin
-    mateo mauricio mercedes miguel monica natalia nicolas noe norma octavio oscar pablo patricia paula paz pedro pilar rafael ramon raquel raul rebeca refugio
-    ricardo roberto rocio rodrigo rosa rosario ruben salvador samuel santiago sara sergio silvia sofia susana teresa tomas ulises valeria veronica vicente
-    victor victoria wendolin ximena yolanda zoraida""".split()
-)
-# Nicknames in Mexican Spanish and the given name each stands for.
+# Nicknames in Mexican Spanish and English, and the given name each stands for.
 NICKNAMES = dict(
     pair.split(":")
     for pair in """ale:alejandra alex:alejandro angie:angeles geles:angeles anita:ana bety:beatriz betty:beatriz bea:beatriz beto:roberto berna:bernardo beny:bernardo
@@ -45,10 +38,17 @@ NICKNAMES = dict(
     kiko:francisco pato:patricia paty:patricia pati:patricia pepe:jose pepito:jose pili:pilar pilarica:pilar poncho:alfonso quique:enrique kike:enrique rafa:rafael
     raulito:raul ricky:ricardo rodri:rodrigo rodo:rodrigo rober:roberto sil:silvia silvi:silvia sofi:sofia tavo:octavio tere:teresa teresita:teresa tencha:hortensia
     horte:hortensia tomasito:tomas tommy:tomas tono:antonio tonito:antonio toni:antonio uli:ulises vale:valeria vero:veronica wen:wendolin wendy:wendolin xime:ximena
-    yola:yolanda yoli:yolanda zori:zoraida zory:zoraida""".split()
+    yola:yolanda yoli:yolanda zori:zoraida zory:zoraida
+    andy:andrew beth:elizabeth bill:william bob:robert dick:richard jack:john jim:james kate:katherine mike:michael peggy:margaret ted:edward tom:thomas""".split()
 )
-#: Tokens are alike from LIKE on; a typed given name is read as the one of GIVEN it resembles most, from READ on; all tokens of a pair from MEAN on, with SLIPS slips at most.
-LIKE, READ, MEAN, SLIP, SLIPS = 0.84, 0.90, 0.90, 0.92, 2
+#: Words are alike from LIKE on; all words of a pair from MEAN on, with SLIPS slips at most. A single slip counts as SLIP at least, as Jaro-Winkler rates a letter left out near the start low.
+LIKE, MEAN, SLIP, SLIPS = 0.84, 0.90, 0.92, 2
+#: Two words that each stand in so many profiles, and the rarer in this share of the other's, are two names and not slips of one.
+OFTEN, SHARE = 5, 0.1
+#: A word that follows first words of so many initials, and is last or before a comma in so small a share of its profiles, is a second given name.
+INITIALS, ENDS = 3, 0.15
+#: What a short form costs whose parts don't follow each other in the full name; both must be words without a slip.
+APART = 0.05
 
 
 @lru_cache(maxsize=1 << 18)
@@ -96,6 +96,53 @@ def slips(a: str, b: str) -> int:
     return min(one[-1], 3)
 
 
+#: Longest words that are compared in a batch; longer ones are compared one by one.
+BATCHED = 32
+
+
+def jaro_winkler_many(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """jaro_winkler of many pairs at once."""
+    if any(len(x) > BATCHED for x in (*a, *b)):
+        return np.array([jaro_winkler(x, y) for x, y in zip(a, b)])
+    x, y, n, m = _letters(a, b)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    mine, theirs = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+    for i in range(int(n.max(initial=0))):
+        for j in range(max(0, i - int(reach.max())), min(int(m.max()), i + int(reach.max()) + 1)):
+            hit = (x[:, i] == y[:, j]) & (x[:, i] > 0) & ~mine[:, i] & ~theirs[:, j] & (abs(i - j) <= reach)
+            mine[:, i] |= hit
+            theirs[:, j] |= hit
+    k = mine.sum(1)
+    in_order = lambda c, used: np.take_along_axis(c, np.argsort(~used, axis=1, kind="stable"), 1)
+    swapped = ((in_order(x, mine) != in_order(y, theirs)) & (np.arange(BATCHED) < k[:, None])).sum(1) / 2
+    some = np.maximum(k, 1)
+    jaro = np.where(k > 0, (k / np.maximum(n, 1) + k / np.maximum(m, 1) + (k - swapped) / some) / 3, 0.0)
+    same = np.cumprod((x[:, :4] == y[:, :4]) & (x[:, :4] > 0), axis=1).sum(1)
+    return np.where((n == m) & (x == y).all(1), 1.0, jaro + same * 0.1 * (1 - jaro))
+
+
+def slips_many(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """slips of many pairs at once."""
+    if any(len(x) > BATCHED for x in (*a, *b)):
+        return np.array([slips(x, y) for x, y in zip(a, b)])
+    x, y, n, m = _letters(a, b)
+    d = np.zeros((int(n.max(initial=0)) + 1, int(m.max(initial=0)) + 1, len(n)), np.int16)
+    d[:, 0], d[0, :] = np.arange(d.shape[0])[:, None], np.arange(d.shape[1])[:, None]
+    for i in range(1, d.shape[0]):
+        for j in range(1, d.shape[1]):
+            best = np.minimum(np.minimum(d[i - 1, j], d[i, j - 1]) + 1, d[i - 1, j - 1] + (x[:, i - 1] != y[:, j - 1]))
+            if i > 1 and j > 1:
+                turned = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                best = np.where(turned, np.minimum(best, d[i - 2, j - 2] + 1), best)
+            d[i, j] = best
+    return np.minimum(d[n, m, np.arange(len(n))], 3)
+
+
+def _letters(a: Sequence[str], b: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    code = lambda s: np.array(s, f"U{BATCHED}").reshape(-1, 1).view(np.uint32).reshape(len(s), BATCHED)
+    return code(list(a)), code(list(b)), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+
+
 def phonetic(token: str) -> str:
     """A code of how a Spanish name sounds: its consonants, those that sound alike as one, doubles as one."""
     t = re.sub(r"h", "", re.sub(r"ch", "X", token))
@@ -104,116 +151,162 @@ def phonetic(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[aeiou]", "", t)).upper() or token[:1].upper()
 
 
-@lru_cache(maxsize=1 << 16)
-def read_given(token: str, guess: bool) -> str:
-    """The given name a token stands for, or ''."""
-    if token in GIVEN:
-        return token
+def full_name(token: str) -> str:
+    """The name that a nickname, or a diminutive of one, stands for; any other token itself."""
     if token in NICKNAMES:
         return NICKNAMES[token]
-    if not guess or len(token) < 3:
-        return ""
-    best = max(sorted(GIVEN), key=lambda g: jaro_winkler(token, g))
-    return best if jaro_winkler(token, best) >= READ else ""
+    short = re.sub(r"(?:it|cit)(?=[oa]$)", "", token)
+    return NICKNAMES.get(short, token) if len(short) > 2 else token
 
 
-def read_name(spelling: str) -> tuple[str, str, str, str]:
-    """given, initial, first surname, second surname of a spelling; what is missing is ''. A second surname may be an initial."""
+def read_name(spelling: str) -> tuple[list[str], int]:
+    """The tokens of a spelling, in plain letters: words and initials; and how many of the last are surnames as they stood before a comma. What stands behind a comma comes first; a lone word is read as an initial and a word written together, unless it is a nickname; a spelling without letters is one token."""
     flat = "".join(c for c in unicodedata.normalize("NFKD", spelling).casefold() if not unicodedata.combining(c))
     flat = re.sub(r"\(.*?\)", " ", flat)
     parts = [[t for t in re.findall(r"[^\W\d_]+", p) if t not in TITLES and t not in PARTICLES] for p in flat.split(",")]
-    parts = [p for p in parts if p]
-    if not parts:
-        return "", "", "".join(re.findall(r"\w", flat)) or flat.strip(), ""
-    if len(parts) > 1:
-        names, surnames = [t for p in parts[1:] for t in p], parts[0]
-    else:
-        names, surnames = _split(parts[0])
-    given = next((g for t in names if (g := read_given(t, False))), "") or next((g for t in names if (g := read_given(t, True))), "")
-    whole = next((t for t in names if len(t) > 1), "")
-    given = given or whole
-    initial = given[:1] or (names[0][:1] if names else "")
-    surnames = [t for i, t in enumerate(surnames) if t != "y" or i == 0]
-    # Of three or more the last two count: the others are given names that GIVEN doesn't know.
-    first, second = (surnames[-2:] if len(surnames) > 2 and len(surnames[-1]) > 1 else surnames + ["", ""])[:2]
-    return given, initial, first, second
-
-
-def _split(t: list[str]) -> tuple[list[str], list[str]]:
-    """Given names and surnames of tokens written in one row, in either order."""
-    if len(t) == 1:
-        return (t, []) if read_given(t[0], False) else ([t[0][:1]], [t[0][1:]])
-    for guess in (False, True):
-        at = [i for i, x in enumerate(t) if len(x) > 1 and read_given(x, guess)]
-        if at and at[0] == 0:
-            n = 1
-            while n < len(t) - 1 and read_given(t[n], False):
-                n += 1
-            return t[:n], t[n:]
-        if len(t[0]) == 1:
-            n = 1
-            while n < len(t) - 1 and (len(t[n]) == 1 or read_given(t[n], False)):
-                n += 1
-            return t[:n], t[n:]
-        if at:
-            return t[at[0] :], t[: at[0]]
-    return t[:1], t[1:]
+    tokens = [t for p in (*parts[1:], parts[0]) for t in p]
+    tokens = [t for i, t in enumerate(tokens) if t != "y" or i in (0, len(tokens) - 1)]
+    if not tokens:
+        return ["".join(re.findall(r"\w", flat)) or flat.strip()], 0
+    if len(tokens) == 1 and len(tokens[0]) > 3 and tokens[0] not in NICKNAMES:
+        return [tokens[0][0], tokens[0][1:]], 0
+    return [full_name(t) for t in tokens], len(parts[0]) if any(parts[1:]) else 0
+
+
+def block_keys(tokens: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Keys under which a profile meets others: the phonetic codes of its sorted words, of each two of them, of a word with the initial of another token; and, for short forms, of a word that a letter is left out of."""
+    words, codes = [t for t in tokens if len(t) > 1], {t: phonetic(t) for t in tokens if len(t) > 1}
+    keys = {"+".join(sorted(codes[w] for w in words))} | {"+".join(sorted((codes[v], codes[w]))) for i, v in enumerate(words) for w in words[i + 1 :]}
+    keys |= {f"{v[0]}|{codes[w]}" for i, w in enumerate(tokens) if w in codes for j, v in enumerate(tokens) if i != j}
+    slipped = set()
+    for i, w in enumerate(tokens):
+        v, c = tokens[i - 1], codes.get(w, "")
+        if len(tokens) > 1 and len(c) > 2:
+            slipped |= {f"{v[0]}|{c}"} | {f"{v[0]}|{c[:k]}{c[k + 1:]}" for k in range(len(c))}
+    return sorted(keys), sorted(slipped)
 
 
 def read_names(spellings: DataFrame, column: str) -> DataFrame:
-    """spelling, given, initial, first, second, tier, keys of each distinct non-blank spelling. Tier 3: given name and both surnames; 2: the second is missing or an initial; 1: an initial and both surnames; 0: less."""
+    """spelling, profile (its tokens in one text), tokens, surnames, keys, slipped of each distinct non-blank spelling."""
 
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for s in pdf["spelling"]:
-                g, i, a, b = read_name(s)
-                tier = (2 if g and a else 0) + (1 if len(b) > 1 and a and (g or i) else 0)
-                pa, pb = phonetic(a) if a else "", phonetic(b) if len(b) > 1 else ""
-                codes = [f"{i}|{pa}", f"{i}|{pa[:2]}>", f"{i}|<{pa[-2:]}"] if a else [f"{i}|{g}"]
-                if pb:
-                    codes += [f"{i}|{pb}", "+".join(sorted((pa, pb)))]
-                out.append((s, g, i, a, b, tier, sorted(set(codes))))
-            yield pd.DataFrame(out, columns=["spelling", "given", "initial", "first", "second", "tier", "keys"])
+                tokens, surnames = read_name(s)
+                out.append((s, " ".join(tokens), tokens, surnames, *block_keys(tokens)))
+            yield pd.DataFrame(out, columns=["spelling", "profile", "tokens", "surnames", "keys", "slipped"])
 
     own = spellings.select(F.col(column).alias("spelling")).filter(r"spelling is not null and not spelling rlike '\\A\\s*\\z'").distinct()
-    return own.mapInPandas(rows, "spelling string, given string, initial string, first string, second string, tier int, keys array<string>")
+    return own.mapInPandas(rows, "spelling string, profile string, tokens array<string>, surnames int, keys array<string>, slipped array<string>")
 
 
-def alike(ga: str, gb: str, ia: str, ib: str, a1: str, b1: str, a2: str, b2: str) -> float:
-    """How well two profiles agree, 0 if they contradict each other: the mean similarity of the tokens both have."""
-    if not (ga and gb) and ia != ib or len(ga) > 1 and len(gb) > 1 and ga != gb and ga in GIVEN and gb in GIVEN:
-        return 0.0
-    if (len(a2) == 1 or len(b2) == 1) and a2 and b2 and a2[0] != b2[0]:
-        return 0.0
-    compared = [(a1, b1)] + [(ga, gb)] * bool(ga and gb) + [(a2, b2)] * (len(a2) > 1 and len(b2) > 1)
-    # Jaro-Winkler rates a letter left out near the start low: a single slip counts as SLIP at least.
-    scores = [max(jaro_winkler(x, y), SLIP if slips(x, y) == 1 else 0.0) for x, y in compared]
-    if min(scores) < LIKE or sum(slips(x, y) for x, y in compared) > SLIPS:
+def with_usage(profiles: DataFrame) -> DataFrame:
+    """Add, for each token of a profile, in how many profiles it stands (n) and whether it is used as a second given name (mid); and the profile's tier, second given names aside: 3 for three words or more, 2 for two words and an initial, 1 for two words, 0 for less."""
+    each = profiles.select("profile", F.posexplode("tokens").alias("at", "token"), F.size("tokens").alias("size"), F.greatest(F.lit(1), "surnames").alias("last"), F.left(F.col("tokens")[0], F.lit(1)).alias("initial"))
+    used = each.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("at") >= F.col("size") - F.col("last")) & (F.col("at") > 0)).alias("ends"),
+        F.size(F.collect_set(F.when((F.col("at") == 1) & (F.col("size") > 2), F.col("initial")))).alias("initials"),
+    )
+    used = used.select("token", F.col("n").cast("int").alias("n"), ((F.col("initials") >= INITIALS) & (F.col("ends") <= ENDS * F.col("n"))).alias("mid"))
+    back = lookup_join(each.select("profile", "at", "token"), used, ["token"]).groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("at", "n", "mid"))).alias("u"))
+    told = profiles.join(back, "profile").select(*profiles.columns, F.col("u.n").alias("n"), F.col("u.mid").alias("mid"))
+    main = F.filter("tokens", lambda t, i: (i == 0) | ~F.get("mid", i))
+    words = F.size(F.filter(main, lambda t: F.length(t) > 1))
+    return told.withColumn("tier", F.when(words > 2, 3).when(words < 2, 0).when(F.size(main) > 2, 2).otherwise(1))
+
+
+def agree(a: Sequence[str], b: Sequence[str], na: Sequence[int], nb: Sequence[int], mid_a: Sequence[bool], mid_b: Sequence[bool], like: dict[tuple[str, str], tuple[float, int]]) -> float:
+    """How well two profiles agree, 0 if they contradict each other: the mean similarity of the words both have.
+
+    Words are paired by similarity whatever their order, then initials with the words left. Only one side may have words
+    or initials over, apart from second given names. `like` has the similarity and the slips of two words.
+    """
+    words_a, words_b = [i for i, t in enumerate(a) if len(t) > 1], [j for j, t in enumerate(b) if len(t) > 1]
+
+    def value(i: int, j: int) -> tuple[float, int]:
+        if a[i] == b[j]:
+            return 1.0, 0
+        least, most = sorted((na[i], nb[j]))
+        return (0.0, 3) if least >= OFTEN and least >= SHARE * most else like[a[i], b[j]]
+
+    found = sorted(((*value(i, j), i, j) for i in words_a for j in words_b), key=lambda f: (-f[0], abs(f[2] - f[3]), f[2], f[3]))
+    at, scores, n_slips = {}, [], 0
+    for s, k, i, j in found:
+        if s >= LIKE and k <= SLIPS and i not in at and j not in at.values():
+            at[i] = j
+            scores.append(s)
+            n_slips += k
+    over_a, over_b = [i for i, t in enumerate(a) if i not in at], [j for j, t in enumerate(b) if j not in at.values()]
+    n_words = len(at)
+    for i in list(over_a):
+        # An initial goes with a word of the same letter, or with the same initial.
+        mates = [j for j in over_b if a[i][0] == b[j][0] and (len(a[i]) == 1 or len(b[j]) == 1)]
+        if mates:
+            at[i] = mates[0]
+            over_a.remove(i)
+            over_b.remove(mates[0])
+    if n_words == 0 or len(at) < 2 or n_slips > SLIPS or sum(scores) / n_words < MEAN:
         return 0.0
-    mean = sum(scores) / len(scores)
-    return mean if mean >= MEAN else 0.0
+    # A second given name, or an initial between others, may be over on both sides.
+    if over_a and over_b:
+        over_a = [i for i in over_a if not (i > 0 and mid_a[i] or len(a[i]) == 1 and 0 < i < len(a) - 1)]
+        over_b = [j for j in over_b if not (j > 0 and mid_b[j] or len(b[j]) == 1 and 0 < j < len(b) - 1)]
+        if over_a and over_b:
+            return 0.0
+    apart = _apart(a, b, at, mid_a, mid_b)
+    return 0.0 if apart and (n_slips or n_words < 2) else sum(scores) / n_words - APART * apart
+
+
+def _apart(a: Sequence[str], b: Sequence[str], at: dict[int, int], mid_a: Sequence[bool], mid_b: Sequence[bool]) -> bool:
+    """Whether the two parts of a short form don't follow each other in the longer name, second given names aside, going round at its end."""
+    main = lambda t, mid: [i for i in range(len(t)) if i == 0 or not mid[i]]
+    own, other = main(a, mid_a), main(b, mid_b)
+    if len(own) > len(other):
+        own, other, at = other, own, {j: i for i, j in at.items()}
+    if len(own) != 2 or len(other) < 3 or any(at.get(i) not in other for i in own):
+        return False
+    p, q = other.index(at[own[0]]), other.index(at[own[1]])
+    return (q - p) % len(other) != 1
+
+
+def _agreement(ta: pd.Series, tb: pd.Series, na: pd.Series, nb: pd.Series, ma: pd.Series, mb: pd.Series) -> pd.Series:
+    """agree for a batch of pairs: all their different words are compared at once."""
+    pairs = list({(x, y) for p, q in zip(ta, tb) for x in p for y in q if len(x) > 1 and len(y) > 1 and x != y and abs(len(x) - len(y)) <= SLIPS})
+    like: dict[tuple[str, str], tuple[float, int]] = _Unlike()
+    if pairs:
+        jw = jaro_winkler_many(*zip(*pairs))
+        near = np.flatnonzero(jw >= 0.6)
+        if len(near):
+            k = slips_many([pairs[i][0] for i in near], [pairs[i][1] for i in near])
+            like.update((pairs[i], (max(float(jw[i]), SLIP if n == 1 else 0.0), int(n))) for i, n in zip(near, k))
+    return pd.Series([agree(*x, like) for x in zip(ta, tb, na, nb, ma, mb)], dtype="float64")
 
 
-def _alike(ga: pd.Series, gb: pd.Series, ia: pd.Series, ib: pd.Series, a1: pd.Series, b1: pd.Series, a2: pd.Series, b2: pd.Series) -> pd.Series:
-    return pd.Series([alike(*x) for x in zip(ga, gb, ia, ib, a1, b1, a2, b2)], dtype="float64")
+class _Unlike(dict):
+    def __missing__(self, key: tuple[str, str]) -> tuple[float, int]:
+        return 0.0, 3
 
 
 def link_spellings(spellings: DataFrame, column: str) -> DataFrame:
     """spelling, person: the distinct non-blank spellings of a column; those that mean one person have one `person`.
 
     Spellings that read alike form one profile; only profiles are compared. Fuller profiles are clustered first; a
-    shorter one joins the cluster it agrees with best, if no other agrees as well, so that an abbreviation that fits two
-    people doesn't link them. Null and blank values have no row; an empty table gives none.
+    shorter one joins the cluster it agrees with best, if no other agrees as well. One that fits two people equally well
+    joins neither, so that it doesn't link them, but the typings of it are linked with each other. Null and blank values
+    have no row; an empty table gives none.
     """
-    names = cut(read_names(spellings, column).withColumn("profile", F.concat_ws("|", "given", "initial", "first", "second")))
-    profiles = names.select("profile", "given", "initial", "first", "second", "tier", "keys").dropDuplicates(["profile"])
-    keyed = profiles.withColumn("key", F.explode("keys")).drop("keys")
-    left = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in keyed.columns if c != "key"])
-    right = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in keyed.columns if c != "key"])
-    close = (F.col("given_a") == F.col("given_b")) | (F.col("given_a") == "") | (F.col("given_b") == "") | (F.col("initial_a") == F.col("initial_b")) | (F.levenshtein("given_a", "given_b") <= 2)
-    pairs = left.join(right, "key").filter((F.col("profile_a") < F.col("profile_b")) & close).drop("key").distinct()
-    score = F.pandas_udf(_alike, DoubleType())("given_a", "given_b", "initial_a", "initial_b", "first_a", "first_b", "second_a", "second_b")
+    names = cut(read_names(spellings, column))
+    profiles = cut(with_usage(names.groupBy("profile", "tokens", "keys", "slipped").agg(F.max("surnames").alias("surnames"))))
+    told = ["profile", "tokens", "n", "mid", "tier"]
+    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in told])
+    keyed, slipped = profiles.withColumn("key", F.explode("keys")), profiles.withColumn("key", F.explode("slipped"))
+    met = join_in_blocks(side(keyed, "a"), side(keyed, "b"), ["key"], "profile_a").filter("profile_a < profile_b")
+    short = join_in_blocks(side(slipped.filter("tier = 0"), "a"), side(slipped, "b"), ["key"], "profile_a").filter("profile_a <> profile_b")
+    lesser = F.col("profile_a") < F.col("profile_b")
+    short = short.select(*[F.when(lesser, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in told])
+    pairs = met.drop("key").unionByName(short).dropDuplicates(["profile_a", "profile_b"])
+    score = F.pandas_udf(_agreement, DoubleType())("tokens_a", "tokens_b", "n_a", "n_b", "mid_a", "mid_b")
     scored = pairs.withColumn("score", score).filter("score > 0")
     both = scored.select(F.col("profile_a").alias("a"), F.col("profile_b").alias("b"), F.col("tier_a").alias("ta"), F.col("tier_b").alias("tb"), "score")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("tb").alias("ta"), F.col("ta").alias("tb"), "score")))
@@ -223,16 +316,14 @@ def link_spellings(spellings: DataFrame, column: str) -> DataFrame:
         here = tiers.filter(F.col("tier") == tier).select("profile")
         edges = both.filter((F.col("ta") == tier) & (F.col("tb") == tier)).select("a", "b")
         if placed is not None:
-            fits = both.filter((F.col("ta") == tier) & (F.col("tb") > tier)).join(placed.withColumnRenamed("profile", "b"), "b").groupBy("a", "person").agg(F.max("score").alias("score"))
-            best = fits.groupBy("a").agg(F.max_by("person", "score").alias("person"), F.max("score").alias("top")).join(fits.select("a", F.col("score").alias("s")), "a")
-            clear = best.groupBy("a", "person", "top").agg(F.count_if(F.col("s") == F.col("top")).alias("ties"))
-            taken = cut(clear.select(F.col("a").alias("profile"), "person", "ties"))
-            joined = taken.filter("ties = 1").select("profile", "person")
-            here = here.join(taken.select("profile"), "profile", "left_anti")
-            edges = edges.join(taken.select(F.col("profile").alias("a")), "a", "left_anti").join(taken.select(F.col("profile").alias("b")), "b", "left_anti")
+            fits = both.filter((F.col("ta") == tier) & (F.col("tb") > tier)).join(placed.withColumnRenamed("profile", "b"), "b").groupBy("a", "person").agg(F.round(F.max("score"), 6).alias("score"))
+            best = fits.groupBy("a").agg(F.max(F.struct("score", "person")).alias("m"), F.min(F.struct(-F.col("score"), "person")).alias("l"))
+            joined = cut(best.filter("m.person = l.person").select(F.col("a").alias("profile"), F.col("m.person").alias("person")))
+            here = here.join(joined.select("profile"), "profile", "left_anti")
+            edges = edges.join(joined.select(F.col("profile").alias("a")), "a", "left_anti").join(joined.select(F.col("profile").alias("b")), "b", "left_anti")
         groups = connected_components(edges).select(F.col("node").alias("profile"), F.col("component").alias("person"))
         alone = here.join(groups, "profile", "left").select("profile", F.coalesce("person", "profile").alias("person"))
-        parts = [alone] if placed is None else [placed, joined, alone, taken.filter("ties > 1").select("profile", F.col("profile").alias("person"))]
+        parts = [alone] if placed is None else [placed, joined, alone]
         placed = cut(reduce(lambda x, y: x.unionByName(y), parts))
     return lookup_join(names.select("spelling", "profile"), placed, ["profile"], written=True).select("spelling", "person")
 

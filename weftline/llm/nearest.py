@@ -8,13 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.operators.lookup import lookup_join
-from weftline.session import cut
+from weftline.llm.blocks import CROWDED, PAIRS, join_in_blocks
 
 #: Times are doubles; differences beyond the tolerance by no more than this still count.
 SLACK = 1e-9
-#: A bucket with more right times than CROWDED is counted; its left rows are dealt into parts of at most PAIRS pairs each.
-CROWDED, PAIRS = 256, 1 << 22
 
 
 def nearest_within(left: DataFrame, right: DataFrame, tolerance: float, crowded: int = CROWDED, pairs_a_part: int = PAIRS) -> DataFrame:
@@ -22,9 +19,8 @@ def nearest_within(left: DataFrame, right: DataFrame, tolerance: float, crowded:
 
     left: entity, time, key; right: the same. Repeated rows count once. Records with a null or NaN time or a null entity
     have no partner. Ties: the earlier right record, then the least key. Equal right times of an entity are reduced to
-    one row before anything is joined. A left record looks at three buckets. Where many records crowd into one bucket,
-    its left records are dealt into parts by a hash of their keys and its right times are repeated for each part, so that
-    no task has more than about `pairs_a_part` pairs of a bucket to look at; every pair is still looked at.
+    one row before anything is joined. A left record looks at three buckets; crowded buckets are dealt into parts of
+    about `pairs_a_part` pairs (join_in_blocks), and every pair is still looked at.
     """
     width = tolerance + 2 * SLACK
     sound = "entity is not null and time is not null and not isnan(time)"
@@ -34,14 +30,7 @@ def nearest_within(left: DataFrame, right: DataFrame, tolerance: float, crowded:
     points = right.filter(sound).select("entity", "time", "key", bucket).groupBy(*at, "time").agg(F.min("key").alias("right_key"))
     spread = own.withColumn("bucket", F.explode(F.expr("sequence(bucket - 1, bucket + 1)")))
     others = points.withColumnRenamed("time", "right_time")
-    many = cut(points.groupBy(*at).agg(F.count(F.lit(1)).alias("n_right")).filter(F.col("n_right") > crowded))
-    if not many.isEmpty():
-        loads = lookup_join(spread.groupBy(*at).agg(F.count(F.lit(1)).alias("n_left")), many, at, how="inner", written=True)
-        parts = cut(loads.select(*at, F.ceil(F.col("n_left") * F.col("n_right") / pairs_a_part).cast("int").alias("parts")).filter("parts > 1"))
-        n = F.coalesce("parts", F.lit(1))
-        spread = lookup_join(spread, parts, at, written=True).withColumn("part", F.pmod(F.xxhash64("left_key"), n).cast("int")).drop("parts")
-        others = lookup_join(others, parts, at, written=True).withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
-        at = [*at, "part"]
-    pairs = spread.join(others, at).withColumn("d", F.abs(F.col("right_time") - F.col("time"))).filter(F.col("d") <= tolerance + SLACK)
+    pairs = join_in_blocks(spread, others, at, "left_key", crowded, pairs_a_part)
+    pairs = pairs.withColumn("d", F.abs(F.col("right_time") - F.col("time"))).filter(F.col("d") <= tolerance + SLACK)
     best = pairs.groupBy("left_key").agg(F.min(F.struct("d", "right_time", "right_key")).alias("m"))
     return best.select("left_key", F.col("m.right_key").alias("right_key"))
