@@ -173,21 +173,18 @@ def read_name(spelling: str) -> tuple[list[str], int]:
     return [full_name(t) for t in tokens], len(parts[0]) if any(parts[1:]) else 0
 
 
-def block_keys(tokens: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Keys under which a profile meets others: the phonetic codes of its sorted words, of each two of them, of a word with the initial of another token; and, for short forms, of a word that a letter is left out of."""
-    words, codes = [t for t in tokens if len(t) > 1], {t: phonetic(t) for t in tokens if len(t) > 1}
-    keys = {"+".join(sorted(codes[w] for w in words))} | {"+".join(sorted((codes[v], codes[w]))) for i, v in enumerate(words) for w in words[i + 1 :]}
-    keys |= {f"{v[0]}|{codes[w]}" for i, w in enumerate(tokens) if w in codes for j, v in enumerate(tokens) if i != j}
-    slipped = set()
-    for i, w in enumerate(tokens):
-        v, c = tokens[i - 1], codes.get(w, "")
-        if len(tokens) > 1 and len(c) > 2:
-            slipped |= {f"{v[0]}|{c}"} | {f"{v[0]}|{c[:k]}{c[k + 1:]}" for k in range(len(c))}
-    return sorted(keys), sorted(slipped)
+def block_keys(tokens: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
+    """Keys under which a profile meets others: the phonetic codes of its sorted words, and of each two of them. Then the keys by which it looks for others, and those by which it is found: an initial that stands for a token with a code, and two codes, where the code may have a letter left out."""
+    codes = {i: phonetic(t) for i, t in enumerate(tokens) if len(t) > 1}
+    keys = {"+".join(sorted(codes.values()))} | {"+".join(sorted((codes[i], codes[j]))) for i in codes for j in codes if i < j}
+    slipped = {i: {c} | {c[:k] + c[k + 1 :] for k in range(len(c)) if len(c) > 2} for i, c in codes.items()}
+    found = {f"{v[0]}|{c}" for i in codes for j, v in enumerate(tokens) if i != j for c in slipped[i]} | {f"{codes[j]}+{c}" for i in codes for j in codes if i != j for c in slipped[i]}
+    looks = {f"{v}|{c}" for i in codes for v in tokens if len(v) == 1 for c in slipped[i]} | {f"{codes[j]}+{c}" for i in codes for j in codes if i != j for c in slipped[i]}
+    return sorted(keys - looks), sorted(looks), sorted(found)
 
 
 def read_names(spellings: DataFrame, column: str) -> DataFrame:
-    """spelling, profile (its tokens in one text), tokens, surnames, keys, slipped of each distinct non-blank spelling."""
+    """spelling, profile (its tokens in one text), tokens, surnames, keys, looks, found of each distinct non-blank spelling."""
 
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -195,10 +192,10 @@ def read_names(spellings: DataFrame, column: str) -> DataFrame:
             for s in pdf["spelling"]:
                 tokens, surnames = read_name(s)
                 out.append((s, " ".join(tokens), tokens, surnames, *block_keys(tokens)))
-            yield pd.DataFrame(out, columns=["spelling", "profile", "tokens", "surnames", "keys", "slipped"])
+            yield pd.DataFrame(out, columns=["spelling", "profile", "tokens", "surnames", "keys", "looks", "found"])
 
     own = spellings.select(F.col(column).alias("spelling")).filter(r"spelling is not null and not spelling rlike '\\A\\s*\\z'").distinct()
-    return own.mapInPandas(rows, "spelling string, profile string, tokens array<string>, surnames int, keys array<string>, slipped array<string>")
+    return own.mapInPandas(rows, "spelling string, profile string, tokens array<string>, surnames int, keys array<string>, looks array<string>, found array<string>")
 
 
 def with_usage(profiles: DataFrame) -> DataFrame:
@@ -297,12 +294,12 @@ def link_spellings(spellings: DataFrame, column: str) -> DataFrame:
     have no row; an empty table gives none.
     """
     names = cut(read_names(spellings, column))
-    profiles = cut(with_usage(names.groupBy("profile", "tokens", "keys", "slipped").agg(F.max("surnames").alias("surnames"))))
+    profiles = cut(with_usage(names.groupBy("profile", "tokens", "keys", "looks", "found").agg(F.max("surnames").alias("surnames"))))
     told = ["profile", "tokens", "n", "mid", "tier"]
     side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in told])
-    keyed, slipped = profiles.withColumn("key", F.explode("keys")), profiles.withColumn("key", F.explode("slipped"))
+    keyed, looks, found = (profiles.withColumn("key", F.explode(c)) for c in ("keys", "looks", "found"))
     met = join_in_blocks(side(keyed, "a"), side(keyed, "b"), ["key"], "profile_a").filter("profile_a < profile_b")
-    short = join_in_blocks(side(slipped.filter("tier = 0"), "a"), side(slipped, "b"), ["key"], "profile_a").filter("profile_a <> profile_b")
+    short = join_in_blocks(side(looks, "a"), side(found, "b"), ["key"], "profile_a").filter("profile_a <> profile_b")
     lesser = F.col("profile_a") < F.col("profile_b")
     short = short.select(*[F.when(lesser, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in told])
     pairs = met.drop("key").unionByName(short).dropDuplicates(["profile_a", "profile_b"])
