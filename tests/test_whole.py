@@ -91,8 +91,9 @@ def test_self_pairs_has_all_clips(spark, tmp_path):
     cases = [(f"f{i:03}", f"v{i % 3}", "agua" if i % 4 else "sol") for i in range(80)] + [("g", "v", "una"), ("h", "v", None), ("i", "w", None)]
     values = [(f, v, w, w, 0.0, 0.0, 1.0, "k") for f, v, w in cases]
     d = made(spark, tmp_path, "word_times", values + values[:5], "file string, video string, word string, surface string, video_start double, word_start double, word_end double, match_kind string")
-    got = sorted((r["word"], r["file_a"], r["file_b"]) for r in CORE.queries["q_self_pairs"](spark, d).collect())
-    assert got == sorted((w, a, b) for a, _, w in cases for b, _, u in cases if w is not None and w == u and a < b)
+    got = sorted((r["file"], r["word"], r["n_links"], r["n_across"]) for r in CORE.queries["q_self_pairs"](spark, d).collect())
+    links = {a: [v != y for b, y, u in cases if w == u and a != b] for a, v, w in cases if w is not None}
+    assert got == sorted((a, w, len(links[a]), sum(links[a])) for a, _, w in cases if a in links)
 
 
 def test_content_words_counts_all_words(spark, tmp_path):

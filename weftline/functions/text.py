@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Accented letters and their plain forms.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
@@ -43,7 +47,7 @@ def strip_html(c: Column) -> Column:
     """The text of HTML: scripts and styles go, paragraphs end in two line breaks and <br> in one, tags become blanks, common entities are read, blanks and line breaks squeezed."""
     steps = (
         (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), (r"(?i)</p\s*>", "\n\n"), (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", " "),
-        ("&nbsp;", " "), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
+        ("&nbsp;", " "), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&quot;", '"'), ("&iexcl;", "¡"), ("&iquest;", "¿"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
         (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"),
     )
     for pattern, plain in steps:
@@ -77,11 +81,30 @@ def file_time(name: Column) -> Column:
     return F.regexp_extract(name, r"mm(\d+)s(\d+)", 1).try_cast("double") * 60 + F.regexp_extract(name, r"mm(\d+)s(\d+)", 2).try_cast("double")
 
 
+# What a label carries beside the word, in the order it is taken away, and what stands for it.
+LABEL_RULES = (
+    (r"(?i)\s*\(diccionario\s+lsm\)\s*", " "),
+    (r"(?i)\s*diccionario\s+\(lsm\)\s*", " "),
+    (r"(?i)\s+lsm\s+diccionario\s+lsm\s*$", ""),
+    (r"(?i)\s+diccionario\s+lsm\s*$", ""),
+    (r"(?i)\s*\((lsm|asl)\)\s*$", ""),
+    (r"(?i)\s*\((variedad\s+distinta[^)]*|regionalismo[^)]*)\)", ""),
+    (r"[¿?¡!]", ""),
+    (r"\(([a-zA-Z])\)", r" ($1)"),
+)
+
+
+@F.pandas_udf(StringType())
+def _composed(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+
+
 def clean_label(c: Column) -> Column:
-    """A label in lower case without numbering, notes in brackets, underscores and repeated blanks."""
-    for pattern, plain in ((r"_+", " "), (r"\[[^\]]*\]", " "), (r"^\s*\d+[.)-]\s*", ""), (r"\s*\(\s*", " ("), (r"\s*\)", ")"), (r"\s*,\s*", ", "), (r"[.;:]+\s*$", ""), (r"\s+", " ")):
+    """A label in lower case and composed letters, without notes on its source and variety, question and exclamation marks and repeated blanks. Only texts with combining marks go through Python."""
+    for pattern, plain in LABEL_RULES:
         c = F.regexp_replace(c, pattern, plain)
-    return F.lower(F.trim(c))
+    c = F.coalesce(_composed(F.when(c.rlike(r"\p{M}"), c)), c)
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
 def split_aliases(c: Column) -> Column:

@@ -38,9 +38,9 @@ def q_json_documents(spark: SparkSession, d: str) -> DataFrame:
     return read.select("video", "version", F.posexplode("segments").alias("idx", "s")).select("video", F.col("idx").cast("long").alias("idx"), "version", "s.file", "s.start_frame")
 
 
-@add("q_vtt_cues", f"with {ASR}, h as (select video, idx, cast(round(start * 1000) as bigint) / 1000.0 as start, cast(round(end_sec * 1000) as bigint) / 1000.0 as end_sec, regexp_replace(word, '[^a-zA-ZáéíóúñüÁÉÍÓÚÑÜ]', '', 'g') as w from heard where start >= 0 and end_sec >= 0), k as (select * from h where w <> '') select video, row_number() over (partition by video order by idx) - 1 as idx, start::double as start, end_sec::double as end_sec, w as text from k")
+@add("q_vtt_cues", f"with {ASR}, h as (select video, idx, cast(round(start * 1000) as bigint) / 1000.0 as start, cast(round(end_sec * 1000) as bigint) / 1000.0 as end_sec, array_to_string(list_filter(list_transform(string_split_regex(word, '[\\r\\n]+'), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), ' ') as w from heard where start >= 0 and end_sec >= 0), k as (select * from h where w <> '') select video, row_number() over (partition by video order by idx) - 1 as idx, start::double as start, end_sec::double as end_sec, w as text from k")
 def q_vtt_cues(spark: SparkSession, d: str) -> DataFrame:
-    """Words as subtitles, a text per video, and parsed again: whole words, trimmed, without blank ones. The SQL has only their plain Spanish letters."""
+    """Words as subtitles, a text per video, and parsed again: whole words, trimmed, without blank ones."""
     said = heard(spark, d).filter("start >= 0 and end_sec >= 0").filter("trim(BOTH ' \t\r\n' FROM word) <> ''")
     h = said.select("video", "idx", "start", "end_sec", F.trim("word").alias("w"))
     vtt = sinks.subtitles(h, "video", "idx", "start", "end_sec", "w")

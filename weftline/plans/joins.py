@@ -12,6 +12,7 @@ from weftline.operators.sequences import running_sum
 from weftline.operators.temporal import asof_before, in_interval, nearest, next_within, overlapping
 from weftline.plans.common import ASR, CLIPS, EV, HOUR, MAN, REV, SEG, clips, events, heard, manifest, review, segments
 from weftline.plans.registry import CORE
+from weftline.session import cut
 
 add = CORE.add
 
@@ -197,17 +198,17 @@ def q_range_bucket_join(spark: SparkSession, d: str) -> DataFrame:
     return o.join(li, (F.col("o_orderkey") == F.col("l_orderkey")) & F.expr("l_shipdate between o_orderdate and o_orderdate + interval 60 day")).select("o_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice")
 
 
-@add("q_self_pairs", f"with {CLIPS}, a as (select word, video, min(file) as file from clips group by 1, 2) select word, x.file as file_a, y.file as file_b from a x join a y using (word) where x.file < y.file")
+@add("q_self_pairs", f"with {CLIPS} select a.file, a.word, count(b.file) as n_links, count(case when a.video <> b.video then 1 end) as n_across from clips a left join clips b on a.word = b.word and a.file <> b.file where a.word is not null group by 1, 2")
 def q_self_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of different clips of one word, in the same video or not: the input of pairwise distances, whose rows grow with the square of a word's clips. The SQL has one clip of each video.
+    """Every clip with its class, the word, and how many other clips it pairs with, in all and in other videos. The pairs themselves aren't written out: they are all pairs of a class, so the class says them.
 
-    The clips of a word are dealt into 16 parts by file and each part meets all clips of the word, so a frequent word is spread.
+    Counted per (word, video) before anything is joined, and the small counts are joined back.
     """
-    a = clips(spark, d).select("word", "file")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    x = a.select("word", F.col("file").alias("file_a"), F.pmod(F.xxhash64("file"), F.lit(16)).cast("int").alias("part"))
-    y = a.select("word", F.col("file").alias("file_b"), parts.alias("part"))
-    return x.join(y, ["word", "part"]).filter("file_a < file_b").select("word", "file_a", "file_b")
+    a = clips(spark, d).filter("word is not null").select("file", "word", "video")
+    by_video = cut(a.groupBy("word", "video").agg(F.count(F.lit(1)).alias("in_video")))
+    by_word = by_video.groupBy("word").agg(F.sum("in_video").alias("in_all"), F.sum(F.when(F.col("video").isNotNull(), F.col("in_video"))).alias("in_videos"))
+    told = lookup_join(lookup_join(a, by_word, ["word"]), by_video, ["word", "video"], written=True)
+    return told.select("file", "word", (F.col("in_all") - 1).alias("n_links"), F.when(F.col("video").isNull(), 0).otherwise(F.col("in_videos") - F.col("in_video")).cast("long").alias("n_across"))
 
 
 @add("q_multi_source_words", f"with {CLIPS}, w as (select word from clips group by 1 having count(distinct video) >= 2 and count(*) > 2) select word, count(*) as n from clips semi join w using (word) group by 1")

@@ -11,6 +11,7 @@ from weftline.operators import tensor as L
 from weftline.plans.common import ASR, EV, HOUR, REV, SEG, events, heard, review, segments, six
 from weftline.plans.evaluation import in_blocks
 from weftline.plans.registry import CORE
+from weftline.plans.texts import _FOLD
 
 add = CORE.add
 _PTS = "pts as (select label::varchar as video, vec_id as frame, unnest(generate_series(0, 31)) as row_no, embedding::double[] as v from embeddings), p as (select video, frame, row_no, case when v[row_no * 2 + 1] > -0.2 then v[row_no * 2 + 1] end as x, v[row_no * 2 + 2] as y from pts)"
@@ -44,9 +45,9 @@ def q_robust_box(spark: SparkSession, d: str) -> DataFrame:
     return L.robust_box(points(spark, d), ["video"], (0, 32), 0.1).select("video", *[six(F.col(c), c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@add("q_dense_grid", f"with {_PTS}, q as (select * from p where frame % 3 = 0), e as (select video, min(frame) as a, max(frame) as b from q group by 1), f as (select video, unnest(generate_series(a, b)) as frame from e), g as (select video, frame, unnest(generate_series(0, 3)) as row_no from f) select g.video, g.frame, g.row_no::int as row_no, q.y from g left join q using (video, frame, row_no)")
+@add("q_dense_grid", f"with {_PTS}, e as (select video, min(frame) as a, max(frame) as b from p group by 1), f as (select video, unnest(generate_series(a, b)) as frame from e), g as (select video, frame, unnest(generate_series(0, 31)) as row_no from f) select g.video, g.frame, g.row_no::int as row_no, p.y from g left join p using (video, frame, row_no)")
 def q_dense_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every frame of a video from its first to its last with all 32 rows; the SQL has every third frame and four rows."""
+    """Every frame of a video from its first to its last with all 32 rows."""
     return L.dense(points(spark, d), ["video"], 32).select("video", "frame", "row_no", "y")
 
 
@@ -69,9 +70,9 @@ def q_split_at_changes(spark: SparkSession, d: str) -> DataFrame:
 STOP = ("de", "la", "que", "el", "en", "los", "las", "para", "con", "una", "por", "sin")
 
 
-@add("q_content_words", f"with {ASR}, k as (select regexp_replace(lower(strip_accents(word)), '[^a-z0-9]', '', 'g') as w from heard where word is not null and regexp_full_match(word, '[ -~áéíóúüñÁÉÍÓÚÜÑ¿¡«»]*')) select w, count(*) as n from k where length(w) >= 3 and w not in {STOP} group by 1")
+@add("q_content_words", f"with {ASR}, k as (select {_FOLD.format('word')} as w from heard where word is not null) select w, count(*) as n from k where length(w) >= 3 and w not in {STOP} group by 1")
 def q_content_words(spark: SparkSession, d: str) -> DataFrame:
-    """How often each folded word is heard, without stop words; the SQL has only words of printable ASCII and Spanish letters."""
+    """How often each folded word is heard, without stop words."""
     stop = spark.createDataFrame([(s,) for s in STOP], "word string")
     h = heard(spark, d).filter("word is not null")
     return P.content_words(h, "word", stop).groupBy(fold_key(F.col("word")).alias("w")).agg(F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,10 @@ from weftline.plans.joins import FAMILIES
 from weftline.plans.registry import CORE
 
 add = CORE.add
-_FOLD = f"regexp_replace(lower(translate({{0}}, '{T.ACCENTED}', '{T.PLAIN}')), '[^a-z0-9]', '', 'g')"
+_BARE = f"regexp_replace(translate({{0}}, '{T.ACCENTED}', '{T.PLAIN}'), '[̀-ͯ]', '', 'g')"
+_FOLD = f"regexp_replace(lower({_BARE}), '[^a-z0-9]', '', 'g')"
+_WORDS = f"' ' || array_to_string(regexp_extract_all(regexp_replace(lower({_BARE}), '\\p{{{{Cf}}}}', '', 'g'), '[\\p{{{{L}}}}\\p{{{{N}}}}_]+'), ' ') || ' '"
+_FAMILY = ", ".join(f"('{k}', {list(fs)})" for k, fs in FAMILIES.items())
 
 
 @add("q_fold_key", f"with {ASR} select {_FOLD.format('word')} as k, count(*) as n, count(distinct word) as n_spellings from heard where word is not null group by 1")
@@ -25,10 +28,10 @@ def q_acronyms(spark: SparkSession, d: str) -> DataFrame:
     return t.filter(F.length("acronym") <= 6).groupBy("acronym").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs")).filter("n >= 2")
 
 
-@add("q_html_strip", """with h as (select doc_id, '<html><body><h1>' || coalesce(source, '') || '</h1><script>x < 1</script><p>' || replace(replace(substr(text, 1, 400), '<', ''), '>', '') || '</p><a href="/d/' || doc_id || '">m&aacute;s</a><br/>fin</body></html>' as html from documents where text is not null and not regexp_matches(text, '[\\x00-\\x08\\x0b-\\x1f]'))
+@add("q_html_strip", """with h as (select doc_id, '<html><body><h1>' || coalesce(source, '') || '</h1><script>x < 1</script><p>' || replace(replace(text, '<', ''), '>', '') || '</p><a href="/d/' || doc_id || '">m&aacute;s</a><br/>fin</body></html>' as html from documents where text is not null)
 select doc_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as heading, regexp_extract(html, 'href="([^"]*)"', 1) as href, length(regexp_replace(html, '<[^>]+>', '', 'g'))::bigint as n_bare from h""")
 def q_html_strip(spark: SparkSession, d: str) -> DataFrame:
-    """Heading, link and text length of pages made of the documents, each with its whole text; the SQL takes 400 characters of those without control characters."""
+    """Heading, link and text length of pages made of the documents, each with its whole text."""
     docs = table(spark, d, "documents").filter("text is not null")
     body = F.regexp_replace("text", "[<>]", "")
     html = F.concat(F.lit("<html><body><h1>"), F.coalesce("source", F.lit("")), F.lit("</h1><script>x < 1</script><p>"), body, F.lit('</p><a href="/d/'), F.col("doc_id").cast("string"), F.lit('">m&aacute;s</a><br/>fin</body></html>'))
@@ -71,10 +74,19 @@ def q_json_props(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).groupBy("event_type", F.floor(k / 10).alias("k10")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("q_label_cleanup", f"with {REV} select word, lower(trim(regexp_replace(regexp_replace(regexp_replace(word, '_+', ' ', 'g'), '[.;:]+ *$', ''), ' +', ' ', 'g'), ' ')) as label, count(*) as n from rev where word is not null and not regexp_matches(word, '[\\s(),\\[\\]0-9]') group by 1, 2")
+# Marks that a dictionary's labels carry are put around the words, so that every rule meets some.
+_MARKED = ("", " (diccionario LSM) ", "¿?", " (LSM)", " (Variedad distinta de la costa)", "(a)", " LSM Diccionario LSM", "   ", "e\u0301")
+_LABEL = "word || coalesce(mark, '')"
+for _p, _r in T.LABEL_RULES:
+    _LABEL = f"regexp_replace({_LABEL}, '{_p}', '{_r.replace('$', chr(92))}', 'g')"
+
+
+@add("q_label_cleanup", f"with {REV}, l as (select word, mark from rev, (values {', '.join(f"('{m}')" for m in _MARKED)}) t(mark) where word is not null) select word || mark as word, lower(trim(regexp_replace(nfc_normalize({_LABEL}), '\\s+', ' ', 'g'), ' ')) as label, count(*) as n from l group by 1, 2")
 def q_label_cleanup(spark: SparkSession, d: str) -> DataFrame:
-    r = review(spark, d).filter(F.col("word").isNotNull() & ~F.col("word").rlike(r"[\s(),\[\]0-9]"))
-    return r.groupBy("word", T.clean_label(F.col("word")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """The clean form of every label, bare and with each kind of mark."""
+    r = review(spark, d).filter("word is not null").select(F.explode(F.transform(F.array(*map(F.lit, _MARKED)), lambda m: F.concat("word", m))).alias("word"))
+    used = r.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return used.select("word", T.clean_label(F.col("word")).alias("label"), "n")
 
 
 @add("q_aliases")
@@ -84,9 +96,11 @@ def q_aliases(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", F.get("parts", F.lit(0)).alias("label"), F.array_join(F.slice("parts", 2, 1000), "|").alias("aliases"))
 
 
-@add("q_matched_form", f"with {CLIPS} select file, case when {_FOLD.format('surface')} = {_FOLD.format('word')} then word end as form from clips where regexp_full_match(surface, '[a-zA-ZáéíóúüñÁÉÍÓÚÜÑ]+') and regexp_full_match(word, '[a-zA-ZáéíóúüñÁÉÍÓÚÜÑ]+')")
+@add("q_matched_form", f"""with {CLIPS}, fam as (select {_FOLD.format('k')} as k, fs from (values {_FAMILY}) t(k, fs)), c as (select file, surface, unnest(coalesce(fs, [word])) as form, generate_subscripts(coalesce(fs, [word]), 1) as i from clips left join fam on k = {_FOLD.format('word')}),
+m as (select file, arg_min(form, i) as form from c where {_WORDS.format('form')} <> '  ' and contains({_WORDS.format('surface')}, {_WORDS.format('form')}) group by 1)
+select file, m.form from clips left join m using (file)""")
 def q_matched_form(spark: SparkSession, d: str) -> DataFrame:
-    """For every clip the first form of its word's family (else the word itself) that its surface holds; the SQL has only clips of plain letters and only the word."""
+    """For every clip the first form of its word's family (else the word itself) that its surface holds."""
     w = F.col("word")
     families = F.create_map(*[x for k, fs in FAMILIES.items() for x in (T.fold_key(F.lit(k)), F.array(*map(F.lit, fs)))])
     return clips(spark, d).select("file", T.matched_form(F.col("surface"), F.coalesce(families[T.fold_key(w)], F.array(w))).alias("form"))
