@@ -27,7 +27,7 @@ def content_words(df: DataFrame, word: str, stop: DataFrame, least: int = 3) ->
 
 def blocked(context: Column, phrases: Column) -> Column:
     """Whether the folded context holds any of the phrases."""
-    return F.exists(phrases, lambda p: (p != "") & F.contains(phrase_key(context), phrase_key(p)))
+    return F.exists(phrases, lambda p: (phrase_key(p) != "") & F.contains(phrase_key(context), phrase_key(p)))
 
 
 def junk_label(label: Column) -> Column:
@@ -92,3 +92,9 @@ def expand_templates(df: DataFrame, templates: Sequence[str], day: str) -> DataF
 def longest_text(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Of several texts of a key the one with the most words."""
     return df.groupBy(*keys).agg(F.max_by(text, F.struct(F.size(F.split(text, r"\s+")), text)).alias(text))
+
+
+def allowed(value: Column, allow: Sequence[object] = (), deny: Sequence[object] = ()) -> Column:
+    """Whether a value is in the allowed set, if there is one, and not in the denied one; null is not."""
+    known = value.isin(*allow) if allow else value.isNotNull()
+    return F.coalesce(known & ~value.isin(*deny) if deny else known, F.lit(False))

@@ -57,9 +57,8 @@ def strip_html(c: Column) -> Column:
 
 def between(c: Column, start: str, end: str) -> Column:
     """The text from the first match of `start` to before the next of `end`; without them to its own start or end."""
-    body = F.when(F.regexp_instr(c, F.lit(start)) > 0, F.substring(c, F.regexp_instr(c, F.lit(start)), F.length(c))).otherwise(c)
-    at = F.regexp_instr(body, F.lit(end))
-    return F.when(at > 0, F.substring(body, F.lit(1), at - 1)).otherwise(body)
+    body = F.when(c.rlike(start), F.regexp_extract(c, f"(?s)((?:{start}).*)", 1)).otherwise(c)
+    return F.regexp_replace(body, f"(?s)(?:{end}).*", "")
 
 
 def clock(seconds: Column) -> Column:
@@ -138,3 +137,14 @@ def visemes(word: Column) -> Column:
 def occurs_as_stem(label: Column, key: Column) -> Column:
     """The label begins with the first five letters of the key."""
     return F.startswith(label, F.substring(key, 1, 5))
+
+
+# The months in Spanish.
+MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
+
+
+def spoken_date(c: Column) -> Column:
+    """The date of a text such as `5 de mayo de 2024`; null for anything else."""
+    p = r"(\d{1,2}) de (\p{L}+) de (\d{4})"
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(c, p, 2)))
+    return F.when(month > 0, F.concat_ws("-", F.regexp_extract(c, p, 3), month.cast("string"), F.regexp_extract(c, p, 1)).try_cast("date"))

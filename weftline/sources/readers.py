@@ -135,3 +135,8 @@ def chunks(df: DataFrame, duration: str, size: float) -> DataFrame:
     n = F.greatest(F.lit(1), F.ceil(F.col(duration) / size)).cast("int")
     own = df.filter(F.col(duration) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1)))
     return own.withColumn("offset", F.col("chunk") * F.lit(size)).withColumn("length", F.least(F.lit(size), F.col(duration) - F.col("chunk") * F.lit(size)))
+
+
+def every_nth(frames: DataFrame, frame: str, n: int) -> DataFrame:
+    """Every n-th frame of a scan, from frame 0, with `sampled`, its number among them."""
+    return frames.filter(F.col(frame) % n == 0).withColumn("sampled", (F.col(frame) / n).cast("long"))
