@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
 from weftline.operators.lookup import beside
+from weftline.operators.sequences import numbered
 
 
 def cap(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
@@ -32,11 +34,10 @@ def resampled(df: DataFrame, group: str, ident: str, keep: Column, size: int, re
     return cap(many, [group, "rep"], [F.when(keep, 0).otherwise(1), F.xxhash64(F.lit(seed), "rep", ident), ident], size)
 
 
-def quota_fill(df: DataFrame, prefer: Column, order: Sequence[str], n: int) -> DataFrame:
+def quota_fill(df: DataFrame, prefer: Column, order: Sequence[str], n: int, cell: float = 1 << 16) -> DataFrame:
     """n rows: the preferred first, topped up with an even stride through the others in their order."""
     marked = df.withColumn("__p", F.when(prefer, 0).otherwise(1))
     share = marked.agg(F.count_if(F.col("__p") == 0).alias("a"), F.count_if(F.col("__p") == 1).alias("b"))
-    nth = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1
     step = F.greatest(F.lit(1), F.floor(F.col("b") / F.greatest(F.lit(1), n - F.col("a"))))
-    ranked = beside(marked.withColumn("__i", nth), share).withColumn("__s", F.when(F.col("__p") == 0, 0).otherwise((F.col("__i") % step != 0).cast("int")))
+    ranked = beside(numbered(marked, ["__p"], order, cell, "__i").withColumn("__i", F.col("__i") - 1), share).withColumn("__s", F.when(F.col("__p") == 0, 0).otherwise((F.col("__i") % step != 0).cast("int")))
     return ranked.orderBy("__p", "__s", "__i").limit(n).drop("__p", "__i", "a", "b", "__s")

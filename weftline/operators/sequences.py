@@ -1,18 +1,20 @@
 """Operators on ordered rows of a key: neighbours, islands, runs, rolling statistics, onsets, bursts, interpolation.
 
-Those that need only the row before and running totals work in cells of the order column, so that a key with a third of
-all rows is spread over tasks (lag_in_cells, running_sum). Those with a frame of rows sort a key in one task, in a
-streaming fashion; where a key is that hot, give `keys` a finer key (a cell or segment) as well.
+A key with a third of all rows is spread over tasks: what needs the row before or running totals works in cells of the
+order column (lag_in_cells, running_sum), and what needs a frame of rows in blocks of rows with a margin (in_row_blocks).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window, Window as W, functions as F
 
 from weftline.operators.lookup import all_null_safe, join_null_safe
 
+#: Width of the cells in which rows are numbered, in units of the order column; and rows of a block with whole frames.
+CELL, ROWS = 1 << 16, 1 << 16
+
 
 def lag_in_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], cell: float, out: str = "prev") -> DataFrame:
     """Add `out`, a struct of `columns` of the row before in the order of its key; null at the first row.
@@ -33,9 +35,12 @@ def lag_in_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, cell: float, out: str) -> DataFrame:
-    """Add `out`, the sum of `value` over the rows of the key up to and with this one."""
+    """Add `out`, the sum of `value` over the rows of the key up to and with this one. A text order[0] is cut into cells by its first two characters instead."""
     keys = list(keys)
-    at = F.coalesce(F.floor(F.nanvl(F.col(order[0]).cast("double"), F.lit(None)) / F.lit(cell)), F.lit(-(1 << 60))).cast("long")
+    if dict(df.dtypes)[order[0]] == "string":
+        at = F.coalesce(F.substring(order[0], 1, 2), F.lit(""))
+    else:
+        at = F.coalesce(F.floor(F.nanvl(F.col(order[0]).cast("double"), F.lit(None)) / F.lit(cell)), F.lit(-(1 << 60))).cast("long")
     own = df.withColumn("__cell", at)
     totals = own.groupBy(*keys, "__cell").agg(F.sum(value).alias("__s"))
     totals = totals.withColumn("__off", F.coalesce(F.sum("__s").over(W.partitionBy(*keys).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__s")
@@ -44,6 +49,24 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return both.select(*[own[c] for c in df.columns if c != out], (F.col("__in") + F.col("__off")).alias(out))
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: float, out: str) -> DataFrame:
+    """Add `out`, the row's place in the order of its key, from 1; counted in cells (running_sum)."""
+    return running_sum(df.withColumn("__one", F.lit(1).cast("long")), keys, order, "__one", cell, out).drop("__one")
+
+
+def in_row_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: float, before: int, after: int, size: int = ROWS) -> tuple[DataFrame, Window, Column]:
+    """Rows ready for a frame of `before` rows before and `after` behind: the rows, a window over the frame, and whether a row is in its own block.
+
+    A key's rows are numbered and cut into blocks of `size`; the rows near a block's border are copied to the next, so
+    that every frame is whole and no key is sorted in one task. Compute over the window, then keep the rows in their own
+    block and drop __i and __block.
+    """
+    block = lambda c: F.floor(c / size)
+    i = F.col("__i")
+    rows = numbered(df, keys, order, cell, "__i").withColumn("__block", F.explode(F.sequence(block(F.greatest(i - after, F.lit(1))), block(i + before))))
+    return rows, W.partitionBy(*keys, "__block").orderBy("__i").rowsBetween(-before, after), F.col("__block") == block(i)
+
+
 def islands(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], gap: float, cell: float, least: int = 1, pad: tuple[float, float] = (0, 0), clamp: tuple[float | None, float | None] = (None, None)) -> DataFrame:
     """Runs of rows whose successive times are at most `gap` apart, with at least `least` rows: keys, start_at, end_at, n. Padded by `pad` and clamped. Rows without a time are left out."""
     order = [time, *tie]
@@ -75,23 +98,23 @@ def trim(df: DataFrame, keys: Sequence[str], order: str, flag: str, buffer: int)
     return df.join(span, list(keys)).filter(F.col(order).between(F.col("__a"), F.col("__b"))).drop("__a", "__b")
 
 
-def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, half: int) -> DataFrame:
+def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, half: int, cell: float = CELL) -> DataFrame:
     """Centred mean and population deviation over 2 * half + 1 rows; the frame shrinks at the edges."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
-    return df.withColumn("roll_mean", F.avg(value).over(w)).withColumn("roll_std", F.stddev_pop(value).over(w))
+    rows, w, own = in_row_blocks(df, keys, order, cell, half, half)
+    return rows.withColumn("roll_mean", F.avg(value).over(w)).withColumn("roll_std", F.stddev_pop(value).over(w)).filter(own).drop("__i", "__block")
 
 
-def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, out: str = "ma") -> DataFrame:
+def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, out: str = "ma", cell: float = CELL) -> DataFrame:
     """Moving average as of a 'same' convolution: zero beyond the edges, a fixed divisor, even widths lean back."""
     before = width // 2
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-before, width - 1 - before)
-    return df.withColumn(out, F.sum(value).over(w) / F.lit(width))
+    rows, w, own = in_row_blocks(df, keys, order, cell, before, width - 1 - before)
+    return rows.withColumn(out, F.sum(value).over(w) / F.lit(width)).filter(own).drop("__i", "__block")
 
 
-def average_of_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, half: int, least: int, out: str = "avg_known") -> DataFrame:
+def average_of_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, half: int, least: int, out: str = "avg_known", cell: float = CELL) -> DataFrame:
     """Centred average of the values that aren't null; null where fewer than `least` are known."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
-    return df.withColumn(out, F.when(F.count(value).over(w) >= least, F.avg(value).over(w)))
+    rows, w, own = in_row_blocks(df, keys, order, cell, half, half)
+    return rows.withColumn(out, F.when(F.count(value).over(w) >= least, F.avg(value).over(w))).filter(own).drop("__i", "__block")
 
 
 def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> DataFrame:
@@ -111,13 +134,14 @@ def z_score(value: str, keys: Sequence[str]) -> Column:
     return F.when(sd > 1e-9, d / sd).otherwise(d)
 
 
-def onsets(df: DataFrame, keys: Sequence[str], order: str, value: str, high: Column, low: Column, lull: int) -> DataFrame:
+def onsets(df: DataFrame, keys: Sequence[str], order: str, value: str, high: Column, low: Column, lull: int, cell: float = CELL) -> DataFrame:
     """Rows at which value rises above `high` after `lull` rows all below `low`. Thresholds may differ by row: each row is held against its own."""
-    w = W.partitionBy(*keys).orderBy(order)
     marked = df.withColumn("__up", F.col(value) > high).withColumn("__low", F.col(value) < low)
-    before = w.rowsBetween(-lull, -1)
+    rows, w, own = in_row_blocks(marked, keys, [order], cell, max(lull, 1), 0)
+    before, last = w.rowsBetween(-lull, -1), w.rowsBetween(-1, -1)
     calm = (F.count("__low").over(before) == lull) & F.bool_and("__low").over(before)
-    return marked.withColumn("__on", F.col("__up") & ~F.coalesce(F.lag("__up").over(w), F.lit(False)) & F.coalesce(calm, F.lit(False))).filter("__on").drop("__up", "__low", "__on")
+    on = F.col("__up") & ~F.coalesce(F.max("__up").over(last), F.lit(False)) & F.coalesce(calm, F.lit(False))
+    return rows.withColumn("__on", on).filter(own & F.col("__on")).drop("__up", "__low", "__on", "__i", "__block")
 
 
 def bursts(df: DataFrame, keys: Sequence[str], frame: str, active: str, tolerate: int, least: int, merge: int) -> DataFrame:
@@ -167,14 +191,18 @@ def thin(df: DataFrame, keys: Sequence[str], time: str, tie: str, apart: float)
     return df.join(ids, [*keys, time, tie], "left_semi")
 
 
-def stride(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int) -> DataFrame:
+def stride(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int, cell: float = CELL) -> DataFrame:
     """Every step-th row of a key, from the first."""
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter((F.col("__n") - 1) % step == 0).drop("__n")
+    return numbered(df, keys, order, cell, "__n").filter((F.col("__n") - 1) % step == 0).drop("__n")
 
 
 def density(df: DataFrame, keys: Sequence[str], time: str, reach: float, out: str = "n_near") -> DataFrame:
-    """How many rows of the key lie within `reach` of each row, itself included."""
-    return df.withColumn(out, F.count(F.lit(1)).over(W.partitionBy(*keys).orderBy(time).rangeBetween(-reach, reach)).cast("long"))
+    """How many rows of the key lie within `reach` of each row, itself included. Time is cut into cells of 16 reaches, and rows near a border are copied to the next cell."""
+    at = lambda c: F.floor(c / F.lit(reach * 16)).cast("long")
+    t = F.col(time)
+    rows = df.withColumn("__cell", F.explode(F.sequence(at(t - reach), at(t + reach))))
+    w = W.partitionBy(*keys, "__cell").orderBy(time).rangeBetween(-reach, reach)
+    return rows.withColumn(out, F.count(F.lit(1)).over(w).cast("long")).filter(F.col("__cell") == at(t)).drop("__cell")
 
 
 def extrema(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

@@ -56,11 +56,11 @@ def unmirror(points: DataFrame, side: str) -> DataFrame:
     return points.withColumn("x", F.when(F.col(side) == "left", 1 - F.col("x")).otherwise(F.col("x")))
 
 
-def body_frame(points: DataFrame, keys: Sequence[str], per_frame: bool = False) -> DataFrame:
+def body_frame(points: DataFrame, keys: Sequence[str], per_frame: bool = False, shoulders: tuple[int, int] = SHOULDERS) -> DataFrame:
     """Coordinates relative to the middle of the shoulders, in shoulder widths; (0.5, 0.5) and 1 where the shoulders are unknown; a missing point is the body's centre."""
     by = [*keys, "frame"] if per_frame else list(keys)
-    s = points.filter(F.col("row_no").isin(*SHOULDERS)).groupBy(*dict.fromkeys([*keys, "frame"])).agg(
-        F.max(F.when(F.col("row_no") == SHOULDERS[0], F.struct("x", "y"))).alias("a"), F.max(F.when(F.col("row_no") == SHOULDERS[1], F.struct("x", "y"))).alias("b")
+    s = points.filter(F.col("row_no").isin(*shoulders)).groupBy(*dict.fromkeys([*keys, "frame"])).agg(
+        F.max(F.when(F.col("row_no") == shoulders[0], F.struct("x", "y"))).alias("a"), F.max(F.when(F.col("row_no") == shoulders[1], F.struct("x", "y"))).alias("b")
     )
     s = s.withColumn("cx", (F.col("a.x") + F.col("b.x")) / 2).withColumn("cy", (F.col("a.y") + F.col("b.y")) / 2).withColumn("w", F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")))
     s = s.filter("cx is not null and w > 1e-6").groupBy(*by).agg(F.avg("cx").alias("cx"), F.avg("cy").alias("cy"), F.avg("w").alias("w"))
@@ -104,3 +104,34 @@ def split_at_changes(spans: DataFrame, changes: DataFrame, key: str, start: str,
     own = inside.withColumn("__b", bounds).drop("__c")
     pieces = own.select("*", F.posexplode(F.slice("__b", F.lit(1), F.size("__b") - 1)).alias("part", "__s"))
     return pieces.withColumn("__e", F.get("__b", F.col("part") + 1)).withColumn(start, F.col("__s")).withColumn(end, F.col("__e")).drop("__b", "__s", "__e")
+
+
+def valid_slice(frames: DataFrame, frame: str, first: Column, last: Column, feature: str) -> DataFrame:
+    """Frames of [first, last), clamped at 0, without those whose feature is missing."""
+    return frames.filter((F.col(frame) >= F.greatest(F.lit(0), first)) & (F.col(frame) < last) & F.col(feature).isNotNull())
+
+
+def _spread(points: DataFrame, keys: Sequence[str], rows: Sequence[int]) -> DataFrame:
+    """One row a frame with a struct p<row> of each of the rows' points."""
+    at = lambda r: F.max(F.when(F.col("row_no") == r, F.struct("x", "y"))).alias(f"p{r}")
+    return points.groupBy(*keys, "frame").agg(*[at(r) for r in rows])
+
+
+def apertures(points: DataFrame, keys: Sequence[str], eyes: tuple[int, int], lips: tuple[int, int]) -> DataFrame:
+    """Per frame the distance of two points (gap), that of the eyes (unit), and the one in units of the other; null where a point is missing or the eyes fall together."""
+    far = lambda a, b: F.hypot(F.col(f"p{a}.x") - F.col(f"p{b}.x"), F.col(f"p{a}.y") - F.col(f"p{b}.y"))
+    f = _spread(points, keys, [*eyes, *lips]).select(*keys, "frame", far(*lips).alias("gap"), far(*eyes).alias("unit"))
+    return f.withColumn("aperture", F.col("gap") / F.nullif(F.col("unit"), F.lit(0.0)))
+
+
+def nearest_point(points: DataFrame, keys: Sequence[str], rows: tuple[int, int], target: int) -> DataFrame:
+    """Per frame the least distance of rows [a, b) from one point; frames without it, or without any of them, have no row. Both are gathered in one pass."""
+    hand = F.col("row_no").between(rows[0], rows[1] - 1)
+    known = points.filter(F.col("x").isNotNull() & (hand | (F.col("row_no") == target)))
+    f = known.groupBy(*keys, "frame").agg(F.collect_list(F.when(hand, F.struct("x", "y"))).alias("h"), F.max(F.when(F.col("row_no") == target, F.struct("x", "y"))).alias("m"))
+    return f.filter("m is not null and size(h) > 0").select(*keys, "frame", F.array_min(F.transform("h", lambda p: F.hypot(p["x"] - F.col("m.x"), p["y"] - F.col("m.y")))).alias("nearest"))
+
+
+def frame_maps(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row a frame with `points`, a map from row to point. A frame has a fixed number of rows."""
+    return points.groupBy(*keys, "frame").agg(F.map_from_entries(F.collect_list(F.struct("row_no", F.struct("x", "y", "z")))).alias("points"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from weftline.catalog import table
 from weftline.operators.lookup import beside, lookup_join
 from weftline.operators.merging import first_wins
-from weftline.operators.sequences import islands
+from weftline.operators.sequences import islands, numbered
 from weftline.plans.common import ASR, CLIPS, EV, HOUR, MAN, REV, SEG, clips, events, heard, manifest, review, segments, six
 from weftline.plans.registry import CORE
 
@@ -112,8 +112,9 @@ def q_occupancy(spark: SparkSession, d: str) -> DataFrame:
 @add("q_deciles", f"with {EV}, r as (select event_type, value, row_number() over (partition by event_type order by us, event_id) - 1 as i, count(*) over (partition by event_type) as n from ev), k as (select *, (i * 10 + 9) // n as x from r), b as (select event_type, value, least(9, ((i + 1) * 10 - 1) // n) as decile from r) select event_type, decile, count(*) as n, round(median(value), 6) as med from b group by 1, 2")
 def q_deciles(spark: SparkSession, d: str) -> DataFrame:
     """Medians of ten positional parts whose bounds are k * n // 10."""
-    w = W.partitionBy("event_type")
-    r = events(spark, d).withColumn("i", F.row_number().over(w.orderBy("us", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    e = events(spark, d).select("event_type", "us", "event_id", "value")
+    n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    r = lookup_join(numbered(e, ["event_type"], ["us", "event_id"], float(HOUR), "i").withColumn("i", F.col("i") - 1), n, ["event_type"])
     dec = F.least(F.lit(9), F.floor(((F.col("i") + 1) * 10 - 1) / F.col("n"))).cast("long")
     return r.groupBy("event_type", dec.alias("decile")).agg(F.count(F.lit(1)).alias("n"), six(F.median("value"), "med"))
 

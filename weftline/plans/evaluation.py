@@ -122,16 +122,23 @@ def q_kendall(spark: SparkSession, d: str) -> DataFrame:
     return E.kendall(x, ["user_id", "day"], "us", "value", "event_id").select("user_id", "day", six(F.col("tau"), "tau"), "n_pairs")
 
 
-@add("q_mannwhitney", f"with x as (select event_type = 'error' as g, value as v from events where value is not null), r as (select g, {_rank('v')} as r from x), s as (select sum(case when g then r end) as r1, count_if(g)::double as n1, count_if(not g)::double as n2 from r) select round(r1 - n1 * (n1 + 1) / 2, 6) as u, round(1 - (r1 - n1 * (n1 + 1) / 2) / (n1 * n2), 6) as p_less, n1::bigint as n1, n2::bigint as n2, round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 6) as z from s")
+def p_sql(z: str) -> str:
+    """The two-sided p value of a normal z in SQL, as evaluation.normal_p."""
+    x = f"(abs({z}) / sqrt(2.0::double))"
+    t = f"(1 / (1 + 0.3275911::double * {x}))"
+    return f"((((((1.061405429::double * {t} - 1.453152027::double) * {t}) + 1.421413741::double) * {t} - 0.284496736::double) * {t} + 0.254829592::double) * {t} * exp(-{x} * {x}))"
+
+
+@add("q_mannwhitney", f"with x as (select event_type = 'error' as g, value as v from events where value is not null), r as (select g, {_rank('v')} as r from x), k as (select sum(c * c * c - c) as t3 from (select count(*)::double as c from x group by v)), s as (select sum(case when g then r end) as r1, count_if(g)::double as n1, count_if(not g)::double as n2, count(*)::double as m from r), z as (select r1 - n1 * (n1 + 1) / 2 as u, n1, n2, (r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12.0 * (m + 1 - t3 / (m * (m - 1)))) as z from s, k) select round(u, 6) as u, round(1 - u / (n1 * n2), 6) as p_less, n1::bigint as n1, n2::bigint as n2, round(z, 6) as z, round({p_sql('z')}, 6) as p from z")
 def q_mannwhitney(spark: SparkSession, d: str) -> DataFrame:
     m = E.mann_whitney(table(spark, d, "events"), "event_type", "value", "error")
-    return m.select(six(F.col("u"), "u"), six(F.col("p_less"), "p_less"), "n1", "n2", six(F.col("z"), "z"))
+    return m.select(six(F.col("u"), "u"), six(F.col("p_less"), "p_less"), "n1", "n2", six(F.col("z"), "z"), six(F.col("p"), "p"))
 
 
-@add("q_wilcoxon", f"with {_PAIR}, x as (select round((p0 + p1) - (t0 + t1), 3) as d from t), y as (select d, abs(d) as a from x where d <> 0), r as (select d, a, {_rank('a')} as r from y), k as (select sum(c * c * c - c) as t3 from (select count(*)::double as c from y group by a)), w as (select sum(case when d > 0 then r else 0 end) as w_plus, count(*)::double as n from r) select round(w_plus, 6) as w_plus, n::bigint as n, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t3 / 48), 6) as z from w, k")
+@add("q_wilcoxon", f"with {_PAIR}, x as (select round((p0 + p1) - (t0 + t1), 3) as d from t), y as (select d, abs(d) as a from x where d <> 0), r as (select d, a, {_rank('a')} as r from y), k as (select sum(c * c * c - c) as t3 from (select count(*)::double as c from y group by a)), w as (select sum(case when d > 0 then r else 0 end) as w_plus, count(*)::double as n from r), z as (select w_plus, n, (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t3 / 48) as z from w, k) select round(w_plus, 6) as w_plus, n::bigint as n, round(z, 6) as z, round({p_sql('z')}, 6) as p from z")
 def q_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     w = E.wilcoxon(predicted(spark, d).select(F.round(F.expr("(p0 + p1) - (t0 + t1)"), 3).alias("d")), "d")
-    return w.select(six(F.col("w_plus"), "w_plus"), "n", six(F.col("z"), "z"))
+    return w.select(six(F.col("w_plus"), "w_plus"), "n", six(F.col("z"), "z"), six(F.col("p"), "p"))
 
 
 @add("q_null_rank", "with k as (select unnest(generate_series(0, 20)) as k) select k, round(((25.0 - k) * (24 - k) * (23 - k) * (22 - k) * (21 - k)) / (25.0 * 24 * 23 * 22 * 21), 9) as p, round(26 / 6.0, 9) as null_mean from k")

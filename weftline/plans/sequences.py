@@ -81,7 +81,7 @@ round(case when count(known) over (w rows between 2 preceding and 2 following) >
 def q_rolling(spark: SparkSession, d: str) -> DataFrame:
     k, o = ["user_id"], ["us", "event_id"]
     ev = events(spark, d).withColumn("known", F.when(F.col("event_id") % 3 > 0, F.col("value")))
-    x = S.average_of_known(S.moving_average(S.rolling(ev, k, o, "value", 5), k, o, "value", 4), k, o, "known", 2, 3)
+    x = S.average_of_known(S.moving_average(S.rolling(ev, k, o, "value", 5, CELL), k, o, "value", 4, cell=CELL), k, o, "known", 2, 3, cell=CELL)
     return x.select("event_id", *[six(F.col(c), c) for c in ("roll_mean", "roll_std", "ma", "avg_known")])
 
 
@@ -183,9 +183,8 @@ def q_stride_sample(spark: SparkSession, d: str) -> DataFrame:
 @add("q_sliding_median", f"with {EV} select event_id, round(median(value) over w, 6) as med, round(quantile_cont(value, 0.75) over w - quantile_cont(value, 0.25) over w, 6) as iqr from ev window w as (partition by user_id order by us, event_id rows between current row and 19 following) qualify count(*) over w = 20")
 def q_sliding_median(spark: SparkSession, d: str) -> DataFrame:
     """Median and interquartile range of each event and the 19 after it; incomplete windows are dropped."""
-    w = W.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(0, 19)
-    v = F.collect_list("value").over(w)
-    x = events(spark, d).withColumn("v", v).filter(F.size("v") == 20).withColumn("s", F.array_sort("v"))
+    e, w, own = S.in_row_blocks(events(spark, d).select("event_id", "user_id", "us", "value"), ["user_id"], ["us", "event_id"], CELL, 0, 19)
+    x = e.withColumn("v", F.collect_list("value").over(w)).filter(own & (F.size("v") == 20)).withColumn("s", F.array_sort("v"))
     at = lambda q: F.get("s", F.lit(int(q * 19))) + (F.get("s", F.lit(int(q * 19) + 1)) - F.get("s", F.lit(int(q * 19)))) * (q * 19 - int(q * 19))
     return x.select("event_id", six(at(0.5), "med"), six(at(0.75) - at(0.25), "iqr"))
 
