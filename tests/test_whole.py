@@ -53,6 +53,31 @@ def test_warping_sees_all_pairs(spark, tmp_path):
     assert got == {(a, k): (b, s, e, round(c, 6)) for a, best in want.items() for k, ((s, e, c), b) in enumerate(best, 1)}
 
 
+def test_warping_retrieval(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = [(i, i % 4, [float(x) for x in rng.normal(size=64) + 2 * (i % 4)]) for i in range(0, 600, 5)]
+    d = made(spark, tmp_path, "embeddings", vectors, "vec_id long, label int, embedding array<double>")
+    near = warped(lambda a, b: (min(kernels.dtw(a, b, 10), kernels.dtw(-a, b, 10)),), vectors)
+    ranks = [next((k for k, (_, b) in enumerate(best, 1) if b % 4 == a % 4), None) for a, best in near.items()]
+    got = {r["slice"]: r for r in CORE.queries["q_dtw_eval"](spark, d).collect()}
+    assert set(got) == {"all", "multi-example"} and got["all"]["n"] == len(near)
+    assert got["all"]["top1"] == round(sum(r == 1 for r in ranks) / len(ranks), 6) and got["all"]["top5"] == round(sum(r is not None for r in ranks) / len(ranks), 6)
+    assert len(CORE.queries["q_dtw_sweep"](spark, d).collect()) == 3
+    best = {r["a"]: (r["b"], r["cost"]) for r in CORE.queries["q_best_reference"](spark, d).collect()}
+    v = {i: np.reshape(x, (-1, 4)) for i, _, x in vectors}
+    want = {a: min((min(kernels.dtw(v[a], v[b], 10), kernels.dtw(-v[a], v[b], 10)), b) for b in v if b != a and b % 4 == a % 4) for a in v if a % 20 == 0}
+    assert best == {a: (b, round(c, 6)) for a, (c, b) in want.items()}
+
+
+def test_cost_alone_equals_the_full_kernel():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        t, h = rng.normal(size=(rng.integers(3, 9), 3)), rng.normal(size=(rng.integers(3, 30), 3))
+        valid = rng.random(len(h)) > 0.2
+        assert abs(kernels.subsequence_cost(t, h, valid) - kernels.subsequence_dtw(t, h, valid)[2]) < 1e-6 * max(1, kernels.subsequence_dtw(t, h, valid)[2])
+    assert kernels.subsequence_cost(t[:2], h) is None
+
+
 def test_matched_form_keeps_all_clips(spark, tmp_path):
     cases = [
         ("agua", "¡Agua!", "agua"), ("agua", "las aguas frías", "aguas"), ("niño", "una NINA", "niña"), ("nino", "los\u00a0niños.", "niños"), ("trabajo", "trabajadores", None), ("casa", "casas y casa", "casa"),

@@ -124,8 +124,60 @@ def _of_one_length(vs: pd.Series, width: int):
         yield np.array(at), np.stack([frames[i] for i in at])
 
 
-def nearest_by_warping(width: int, k: int, band: int | None = None):
-    """A function of a block of queries (query, ql, qv) and a part of all vectors (vec_id, label, v): the k nearest of each query by banded warping; the mirrored form counts if it is nearer."""
+def subsequence_cost(template: np.ndarray, hay: np.ndarray, valid: np.ndarray | None = None) -> float | None:
+    """The cost of subsequence_dtw alone: one row is kept, and no origins."""
+    n, m = len(template), len(hay)
+    if n < 3 or m < 3:
+        return None
+    cost = np.sqrt(((template[:, None, :] - hay[None, :, :]) ** 2).sum(-1))
+    cost[~np.isfinite(cost)] = INVALID
+    if valid is not None:
+        cost[:, ~valid] = INVALID
+    total = cost[0]
+    for row in cost[1:]:
+        best = np.minimum(np.concatenate([[np.inf], total[:-1]]), total) + row
+        # What comes from the left adds up along the row: the least of all starts, by a running minimum.
+        along = np.cumsum(row)
+        total = along + np.minimum.accumulate(best - along)
+    return float(total.min() / n)
+
+
+def _stack(vs: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vs])
+
+
+def compared():
+    """A function of a block of queries (query, ql, qv) and a part of all vectors (vec_id, label, v): cosine similarity and distance of every query to every other vector of the part, by one product of matrices."""
+
+    def block(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(refs):
+            return pd.DataFrame([], columns=["query", "ql", "other", "ol", "sim", "dist"])
+        q, v = _stack(queries["qv"]), _stack(refs["v"])
+        dot = q @ v.T
+        qn, vn = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
+        sim = dot / (qn[:, None] * vn[None, :] + 1e-12)
+        dist = np.sqrt(np.maximum((qn**2)[:, None] + (vn**2)[None, :] - 2 * dot, 0))
+        i, j = np.nonzero(queries["query"].to_numpy()[:, None] != refs["vec_id"].to_numpy()[None, :])
+        return pd.DataFrame({"query": queries["query"].to_numpy()[i], "ql": queries["ql"].to_numpy()[i], "other": refs["vec_id"].to_numpy()[j], "ol": refs["label"].to_numpy()[j], "sim": sim[i, j], "dist": dist[i, j]})
+
+    return block
+
+
+def nearest_by_cosine(k: int):
+    """The k most similar vectors of a part to each query of a block; cost is 1 - similarity, rounded so that equal ones go by id."""
+    every = compared()
+
+    def block(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        s = every(queries, refs)
+        s["cost"] = (1 - s["sim"].astype(float)).round(9)
+        top = s.sort_values(["query", "cost", "other"]).groupby("query").head(k)
+        return top.rename(columns={"ql": "label", "ol": "b_label", "query": "a", "other": "b"})[["label", "b_label", "a", "b", "cost"]]
+
+    return block
+
+
+def nearest_by_warping(width: int, k: int, band: int | None = None, mirror: bool = True, same: bool = False):
+    """A function of a block of queries (query, ql, qv) and a part of all vectors (vec_id, label, v): the k nearest of each query by banded warping; the mirrored form counts if it is nearer. same: only vectors of the query's label are candidates."""
 
     def block(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
         ids, labels, parts = refs["vec_id"].to_numpy(), refs["label"].to_numpy(), list(_of_one_length(refs["v"], width))
@@ -133,8 +185,10 @@ def nearest_by_warping(width: int, k: int, band: int | None = None):
         for query, ql, qv in zip(queries["query"], queries["ql"], queries["qv"]):
             a, cost = _frames(qv, width), np.empty(len(ids))
             for at, bs in parts:
-                cost[at] = np.minimum(dtw_many(a, bs, band), dtw_many(-a, bs, band))
+                cost[at] = np.minimum(dtw_many(a, bs, band), dtw_many(-a, bs, band)) if mirror else dtw_many(a, bs, band)
             cost[ids == query] = np.nan
+            if same:
+                cost[labels != ql] = np.nan
             out += [(ql, labels[i], query, ids[i], cost[i]) for i in np.lexsort((ids, cost))[:k] if not np.isnan(cost[i])]
         return pd.DataFrame(out, columns=["label", "b_label", "a", "b", "cost"])
 

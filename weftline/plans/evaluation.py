@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from weftline.operators.lookup import beside
 from weftline.catalog import table
-from weftline.functions.kernels import nearest_by_part, nearest_by_warping, token_align_column
-from weftline.functions.vectors import cosine, iou, mirror_row, resample
+from weftline.functions.kernels import compared, nearest_by_cosine, nearest_by_part, nearest_by_warping, token_align_column
+from weftline.functions.vectors import iou, mirror_row, resample
 from weftline.functions.text import words
 from weftline.operators import evaluation as E
 from weftline.operators.sequences import lag_in_cells
@@ -59,29 +61,32 @@ def q_xcorr(spark: SparkSession, d: str) -> DataFrame:
 _EMB = "e as (select vec_id, label, embedding::double[] as v from embeddings), q as (select * from e where vec_id % 20 = 0), s as (select q.vec_id as query, q.label as ql, e.vec_id as other, e.label as ol, round(list_cosine_similarity(q.v, e.v), 9) as sim from q join e on e.vec_id <> q.vec_id), r as (select *, row_number() over (partition by query order by sim desc, other) as rn from s)"
 
 
-def in_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector whose id is divisible by 20 as a query q, against all other vectors: vec_id, label, v, q (query, ql, qv).
+def scored_in_blocks(spark: SparkSession, d: str, scored, schema: str) -> DataFrame:
+    """What `scored` says of every stated query (ids divisible by 20) and all vectors.
 
-    The queries are packed into blocks of 256, each vector meets each block once and is scored inside the row: work is
-    queries times vectors, as an exact search needs, but rows don't multiply before scoring.
+    Queries and vectors are dealt by a hash of their ids into parts of about 256, and each part of the one meets each of
+    the other once, in a task of its own: no task holds all vectors, and a pair of parts is scored as a whole.
     """
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.filter("vec_id % 20 = 0")
-    blocks = q.groupBy(F.floor(F.col("vec_id") / (20 * 256)).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("v").alias("qv"))).alias("qs"))
-    n = q.agg(F.max(F.floor(F.col("vec_id") / (20 * 256))).alias("last"))
-    both = beside(e, n).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).join(blocks, "block")
-    return both.select("vec_id", "label", "v", F.explode("qs").alias("q")).filter("q.query <> vec_id")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("v").alias("qv"))
+    parts = e.agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"), F.ceil(F.count_if(F.col("vec_id") % 20 == 0) / 256).alias("blocks"))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.greatest(n, F.lit(1)))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, so that the parts aren't put into few tasks for being small
+    qs = beside(q, parts).withColumn("block", dealt("query", F.col("blocks"))).withColumn("part", each(F.col("parts"))).drop("parts", "blocks").repartition(n, "block", "part")
+    vs = beside(e, parts).withColumn("part", dealt("vec_id", F.col("parts"))).withColumn("block", each(F.col("blocks"))).drop("parts", "blocks").repartition(n, "block", "part")
+    return qs.groupBy("block", "part").cogroup(vs.groupBy("block", "part")).applyInPandas(scored, schema)
 
 
 def similarities(spark: SparkSession, d: str) -> DataFrame:
-    """query, ql, other, ol, sim: cosine similarity of the stated queries to all other vectors."""
-    return in_blocks(spark, d).select("q.query", "q.ql", F.col("vec_id").alias("other"), F.col("label").alias("ol"), F.round(cosine(F.col("q.qv"), F.col("v")), 9).alias("sim"))
+    """query, ql, other, ol, sim, dist: cosine similarity and distance of the stated queries to all other vectors."""
+    return scored_in_blocks(spark, d, compared(), "query long, ql int, other long, ol int, sim double, dist double").withColumn("sim", F.round("sim", 9))
 
 
 @add("q_cosine_topk", f"with {_EMB} select query, other, round(sim, 6) as sim, rn as rank from r where rn <= 5")
 def q_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("query").orderBy(F.desc("sim"), "other")
-    return similarities(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select("query", "other", six(F.col("sim"), "sim"), "rank")
+    near = nearest_in_blocks(spark, d, nearest_by_cosine(5), NEAR, 5)
+    return near.select(F.col("a").alias("query"), F.col("b").alias("other"), six(1 - F.col("cost"), "sim"), "rank")
 
 
 @add("q_loo_eval", f"with {_EMB}, f as (select query, ql, min(case when ol = ql then rn end) as first_rank, count(*) as n_candidates from r group by 1, 2) select coalesce(ql::varchar, '(all)') as label, count(*) as n, round(avg(coalesce((first_rank <= 1)::int, 0)), 6) as top1, round(avg(coalesce((first_rank <= 5)::int, 0)), 6) as top5, round(avg(coalesce(1.0 / first_rank, 0)), 6) as mrr, round(median(first_rank), 6) as median_rank, round(avg(first_rank), 6) as mean_rank, round(avg((n_candidates + 1) / 2.0), 6) as chance_rank from f group by grouping sets ((ql), ())")
@@ -161,29 +166,19 @@ def q_resample(spark: SparkSession, d: str) -> DataFrame:
     return x.select("vec_id", F.col("k").cast("long").alias("k"), F.round("x", 5).alias("x"))
 
 
-def nearest_in_blocks(spark: SparkSession, d: str, scored, schema: str, k: int) -> DataFrame:
-    """The k nearest of all other vectors to every stated query (ids divisible by 20), with their rank; of equal ones the lesser id.
+NEAR = "label int, b_label int, a long, b long, cost double"
 
-    Queries and vectors are dealt into parts of about 256, and each part of the one meets each of the other once. The
-    k nearest of a pair of parts are kept, so the rows to rank are k for a query and part.
-    """
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-    parts = e.agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"), F.ceil(F.count_if(F.col("vec_id") % 20 == 0) / 256).alias("blocks"))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.greatest(n, F.lit(1)))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, so that the parts aren't put into few tasks for being small
-    qs = beside(q, parts).withColumn("block", dealt("query", F.col("blocks"))).withColumn("part", each(F.col("parts"))).drop("parts", "blocks").repartition(n, "block", "part")
-    vs = beside(e, parts).withColumn("part", dealt("vec_id", F.col("parts"))).withColumn("block", each(F.col("blocks"))).drop("parts", "blocks").repartition(n, "block", "part")
-    best = qs.groupBy("block", "part").cogroup(vs.groupBy("block", "part")).applyInPandas(scored, schema)
+
+def nearest_in_blocks(spark: SparkSession, d: str, scored, schema: str, k: int) -> DataFrame:
+    """The k nearest of all other vectors to every stated query, with their rank; of equal ones the lesser id. Of each pair of parts k are kept, so the rows to rank are k for a query and part."""
     w = W.partitionBy("a").orderBy("cost", "b")
-    return best.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).withColumn("cost", F.round("cost", 6))
+    return scored_in_blocks(spark, d, scored, schema).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).withColumn("cost", F.round("cost", 6))
 
 
 @add("q_dtw_pairs")
 def q_dtw_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of all other vectors to each stated query by banded time warping, as 16 frames of 4 numbers; the mirrored form counts if it is nearer."""
-    return nearest_in_blocks(spark, d, nearest_by_warping(4, 5, 10), "label int, b_label int, a long, b long, cost double", 5)
+    return nearest_in_blocks(spark, d, nearest_by_warping(4, 5, 10), NEAR, 5)
 
 
 @add("q_subseq_dtw")
@@ -192,6 +187,48 @@ def q_subseq_dtw(spark: SparkSession, d: str) -> DataFrame:
     return nearest_in_blocks(spark, d, nearest_by_part(4, 5, 5, 6), "label int, b_label int, a long, b long, start long, end long, cost double", 5)
 
 
+def retrieval_report(near: DataFrame, slices: DataFrame) -> DataFrame:
+    """n, top1, top5 and mrr (of the first five) by slice. near: the nearest of each query, a, label, b_label, rank; slices: label, slice."""
+    hits = near.groupBy("a", "label").agg(F.min(F.when(F.col("label") == F.col("b_label"), F.col("rank"))).alias("r")).join(F.broadcast(slices), "label")
+    share = lambda k: F.avg(F.coalesce(F.col("r") <= k, F.lit(False)).cast("int"))
+    return hits.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), six(share(1), "top1"), six(share(5), "top5"), six(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), "mrr"))
+
+
+def label_slices(spark: SparkSession, d: str) -> DataFrame:
+    """label, slice: all labels, those with several examples, and those of one."""
+    n = table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("label", F.explode(F.array(F.lit("all"), F.when(F.col("n") > 1, "multi-example").otherwise("single"))).alias("slice"))
+
+
+@add("q_dtw_eval")
+def q_dtw_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Leave one out by banded time warping against all vectors, mirrored forms too: hits among the nearest five, by slice."""
+    return retrieval_report(nearest_in_blocks(spark, d, nearest_by_warping(4, 5, 10), NEAR, 5), label_slices(spark, d))
+
+
+SWEEP = ((3, False), (10, False), (10, True))
+
+
+@add("q_dtw_sweep")
+def q_dtw_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Several configurations of the warping (band, mirrored or not), ranked by their share of hits among five."""
+    runs = [retrieval_report(nearest_in_blocks(spark, d, nearest_by_warping(4, 5, band, mirror), NEAR, 5), label_slices(spark, d)).filter("slice = 'all'").select(F.lit(band).alias("band"), F.lit(mirror).alias("mirrored"), "n", "top1", "top5", "mrr") for band, mirror in SWEEP]
+    return reduce(lambda a, b: a.unionByName(b), runs).orderBy(F.desc("top5"), F.desc("mrr"), "band", "mirrored")
+
+
+@add("q_best_reference")
+def q_best_reference(spark: SparkSession, d: str) -> DataFrame:
+    """Where the label is known beforehand, the best of its references to each stated query."""
+    return nearest_in_blocks(spark, d, nearest_by_warping(4, 1, 10, same=True), NEAR, 1).select("label", "a", "b", "cost")
+
+
+@add("q_confusions", f"with {_EMB} select ql as label, ol as taken_for, count(*) as n from r where rn = 1 and ol <> ql group by 1, 2")
+def q_confusions(spark: SparkSession, d: str) -> DataFrame:
+    """Which label the most similar vector has where it is the wrong one."""
+    near = nearest_in_blocks(spark, d, nearest_by_cosine(1), NEAR, 1).filter("label <> b_label")
+    return near.groupBy("label", F.col("b_label").alias("taken_for")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @add("q_token_align")
 def q_token_align(spark: SparkSession, d: str) -> DataFrame:
     """Words of a document aligned with those of the document without every seventh word: how many are matched."""

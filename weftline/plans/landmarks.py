@@ -9,7 +9,7 @@ from weftline.functions import predicates as P
 from weftline.functions.text import fold_key
 from weftline.operators import tensor as L
 from weftline.plans.common import ASR, EV, HOUR, REV, SEG, events, heard, review, segments, six
-from weftline.plans.evaluation import in_blocks
+from weftline.plans.evaluation import similarities
 from weftline.plans.registry import CORE
 from weftline.plans.texts import _FOLD
 
@@ -96,7 +96,7 @@ def q_calibration(spark: SparkSession, d: str) -> DataFrame:
 @add("q_contrast", "with e as (select vec_id, label, embedding::double[] as v from embeddings where vec_id % 20 = 0), o as (select vec_id, label, embedding::double[] as v from embeddings), s as (select e.vec_id, e.label = o.label as same, list_distance(e.v, o.v) as dist from e join o on e.vec_id <> o.vec_id) select round(median(case when same then dist end), 6) as within, round(median(case when not same then dist end), 6) as across, median(case when not same then dist end) / median(case when same then dist end) >= 1.25 as apart from s")
 def q_contrast(spark: SparkSession, d: str) -> DataFrame:
     """Median distance within a label and across labels, from the stated queries to all vectors."""
-    s = in_blocks(spark, d).select((F.col("q.ql") == F.col("label")).alias("same"), F.sqrt(F.aggregate(F.zip_with("q.qv", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)).alias("dist"))
+    s = similarities(spark, d).select((F.col("ql") == F.col("ol")).alias("same"), "dist")
     m = s.agg(F.median(F.when(F.col("same"), F.col("dist"))).alias("w"), F.median(F.when(~F.col("same"), F.col("dist"))).alias("a"))
     return m.select(six(F.col("w"), "within"), six(F.col("a"), "across"), (F.col("a") / F.col("w") >= 1.25).alias("apart"))
 

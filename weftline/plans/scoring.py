@@ -129,11 +129,11 @@ def q_container_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return both.select("video", P.container_mismatch(F.col("dur"), F.col("frames"), F.col("fps")).alias("mismatch"))
 
 
-@add("q_presence_hours", f"with {SEG}, t as (select video, round((end_sec - start_sec) * 1000)::bigint as dur, coalesce(hand_coverage >= 0.6, false) and round((end_sec - start_sec) * 1000) >= 2000 as kept from seg where end_sec > start_sec) select video, count(*) as n_before, round(sum(dur)::double / 3600000, 6) as hours_before, count_if(kept)::bigint as n_after, round(coalesce(sum(case when kept then dur end), 0)::double / 3600000, 6) as hours_after from t group by 1")
+@add("q_presence_hours", f"with {SEG}, t as (select video, round((end_sec - start_sec) * 1000)::bigint as dur, coalesce(hand_coverage >= 0.6, false) and round((end_sec - start_sec) * 1000) >= 2000 as kept from seg where end_sec > start_sec) select video, count(*) as n_before, round(sum(dur)::double / 3600000, 9) as hours_before, count_if(kept)::bigint as n_after, round(coalesce(sum(case when kept then dur end), 0)::double / 3600000, 9) as hours_after from t group by 1")
 def q_presence_hours(spark: SparkSession, d: str) -> DataFrame:
     """Segments and hours of each video before and after the presence rule."""
     s = segments(spark, d).filter("end_sec > start_sec").withColumn("dur", F.round((F.col("end_sec") - F.col("start_sec")) * 1000).cast("long")).withColumn("kept", P.eligible(F.col("dur"), F.col("hand_coverage"), 2000, 0.6))
-    return s.groupBy("video").agg(F.count(F.lit(1)).alias("n_before"), six(F.sum("dur") / 3600000, "hours_before"), F.count_if("kept").alias("n_after"), six(F.coalesce(F.sum(F.when(F.col("kept"), F.col("dur"))), F.lit(0)) / 3600000, "hours_after"))
+    return s.groupBy("video").agg(F.count(F.lit(1)).alias("n_before"), F.round(F.sum("dur") / 3600000, 9).alias("hours_before"), F.count_if("kept").alias("n_after"), F.round(F.coalesce(F.sum(F.when(F.col("kept"), F.col("dur"))), F.lit(0)) / 3600000, 9).alias("hours_after"))
 
 
 @add("q_ingest_checks", f"with {CLIPS}, {REV}, c as (select 'leaked_ids' as kind, count_if(file not in (select file from clips))::bigint as n_bad, count(*) as n from rev where file is not null union all select 'missing_word', count_if(word is null)::bigint, count(*) from clips union all select 'accent_round_trip', count_if(encode(word)::varchar is null)::bigint, count(*) from clips union all select 'no_time', count_if(word_start is null and video_start is null)::bigint, count(*) from clips) select kind, n, n_bad, case when n_bad = 0 then 'PASS' else 'FAIL' end as status from c")
