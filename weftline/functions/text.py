@@ -123,15 +123,24 @@ def prefix_alike(a: Column, b: Column) -> Column:
     return (a == b) | F.startswith(a, b) | F.startswith(b, a)
 
 
-# How open and how round the lips are for a vowel, from 0 to 1.
-VISEMES = {"a": (1.0, 0.0), "e": (0.6, 0.0), "i": (0.3, 0.0), "o": (0.6, 1.0), "u": (0.2, 1.0)}
+# How open and how round the lips are for a sound, from 0 to 1: vowels, glides, closed lips, lip and teeth. Other sounds show nothing.
+VISEMES = {
+    "a": (1.0, 0.0), "e": (0.6, 0.0), "i": (0.2, 0.0), "o": (0.6, 1.0), "u": (0.2, 1.0),
+    "j": (0.15, 0.0), "w": (0.15, 1.0),
+    "p": (0.05, 0.3), "b": (0.05, 0.3), "m": (0.05, 0.3),
+    "f": (0.15, 0.0),
+}
+#: Spellings of sounds, in order: letters that name another sound or none, then unstressed i and u before a vowel, which are glides.
+SOUNDS = (("j", "x"), ("w", "u"), ("qu", "k"), ("g[u]([eiéí])", "g$1"), ("v", "b"), ("[uü]([aeioáéíó])", "w$1"), ("i([aeouáéóú])", "j$1"))
 
 
 def visemes(word: Column) -> Column:
-    """The vowels of a word as (open, round)."""
+    """The visible sounds of a word as (open, round), by rules of Spanish spelling."""
+    c = F.lower(word)
+    for pattern, sound in SOUNDS:
+        c = F.regexp_replace(c, pattern, sound)
     table = F.create_map(*[x for k, (o, r) in VISEMES.items() for x in (F.lit(k), F.struct(F.lit(o).alias("open"), F.lit(r).alias("round")))])
-    letters = F.split(F.lower(strip_accents(word)), "")
-    return F.filter(F.transform(letters, lambda ch: table[ch]), lambda v: v.isNotNull())
+    return F.filter(F.transform(F.split(strip_accents(c), ""), lambda ch: table[ch]), lambda v: v.isNotNull())
 
 
 def occurs_as_stem(label: Column, key: Column) -> Column:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, Window as W, functions as F
 
 from weftline.operators.lookup import all_null_safe, join_null_safe
+from weftline.operators.temporal import neighbours
+from weftline.session import cut
 
 #: Width of the cells in which rows are numbered, in units of the order column; and rows of a block with whole frames.
 CELL, ROWS = 1 << 16, 1 << 16
@@ -177,18 +179,52 @@ def groups_closed_by(df: DataFrame, keys: Sequence[str], order: str, closes: Col
 def thin(df: DataFrame, keys: Sequence[str], time: str, tie: str, apart: float) -> DataFrame:
     """Keep a row if it is at least `apart` after the last kept one of its key; the first is kept. Adds nothing.
 
-    Rows more than `apart` after the row before them start anew whatever was kept, so a key falls into islands that are
-    folded on their own; a fold over a sorted array per island finds the kept rows.
+    Rows at least `apart` after the row before them are kept whatever was kept before. From these, every kept row leads to
+    the next: the first row at least `apart` later. The kept rows are found by doubling: each round adds the rows that
+    the ones found so far lead to and makes every lead twice as long, so a chain of n kept rows takes log n rounds, and
+    no run of rows, however dense, comes together in one task. Rows without a time are left out.
     """
-    cell = max(apart * 64, 1e-9)
-    order = [time, tie]
-    own = lag_in_cells(df, keys, order, [time], cell).withColumn("__brk", F.when(F.coalesce(F.col(time) - F.col(f"prev.{time}") < apart, F.lit(False)), 0).otherwise(1)).drop("prev")
-    own = running_sum(own, keys, order, "__brk", cell, "__grp").drop("__brk")
-    seq = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(tie).alias("i"))))
-    fold = own.groupBy(*keys, "__grp").agg(seq.alias("s"))
-    kept = F.expr(f"aggregate(slice(s, 2, greatest(size(s) - 1, 0)), array(s[0]), (a, x) -> case when x.t - element_at(a, -1).t >= {apart} then concat(a, array(x)) else a end)")
-    ids = fold.select(*keys, F.explode(kept).alias("__k")).select(*keys, F.col("__k.t").alias(time), F.col("__k.i").alias(tie))
-    return df.join(ids, [*keys, time, tie], "left_semi")
+    keys, order, cell = list(keys), [time, tie], max(apart * 64, 1e-9)
+    own = df.filter(F.col(time).isNotNull()).select(*keys, time, tie).distinct()
+    own = lag_in_cells(own, keys, order, [time], cell)
+    opens = F.coalesce(F.col(time) - F.col(f"prev.{time}") >= apart, F.lit(True))
+    later = neighbours(own.withColumn("__open", opens).drop("prev").withColumn("__from", F.col(time) + apart), own.select(*keys, time, tie), keys, "__from", time, [tie], cell)
+    to = F.when(F.col("before.t") == F.col("__from"), F.col("before")).otherwise(F.col("after"))
+    leads = cut(later.select(*keys, time, tie, "__open", to.alias("__to")).select(*keys, time, tie, "__open", F.col("__to.t").alias("__t"), F.col(f"__to.{tie}").alias("__i")))
+    kept, leads = leads.filter("__open").select(*keys, time, tie), leads.filter("__t is not null").select(*keys, time, tie, "__t", "__i")
+    n = kept.count()
+    while True:
+        led = join_null_safe(leads, kept, [*keys, time, tie]).select(*keys, F.col("__t").alias(time), F.col("__i").alias(tie))
+        kept = cut(kept.unionByName(led).distinct())
+        more = kept.count()
+        if more == n:
+            return join_null_safe(df, kept, [*keys, time, tie], "left_semi")
+        n = more
+        beyond = leads.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(time).alias("__at"), F.col(tie).alias("__ai"), F.col("__t").alias("__t2"), F.col("__i").alias("__i2"))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        leads = cut(leads.join(beyond, same & (F.col("__t") == F.col("__at")) & F.col("__i").eqNullSafe(F.col("__ai"))).select(*keys, time, tie, F.col("__t2").alias("__t"), F.col("__i2").alias("__i")))
+
+
+def contexts(df: DataFrame, keys: Sequence[str], order: Sequence[str], word: str, hit: Column, reach: int, fallback: int, least: int, out: str, cell: float = CELL) -> DataFrame:
+    """Rows for which `hit` holds with `out`, the words around them, the row's own between **.
+
+    To each side up to `reach` words, but not beyond a word that ends a sentence; where that gives fewer than `least`
+    words in all, `fallback` words to each side. Words mustn't be null.
+    """
+    rows, w, own = in_row_blocks(df.withColumn("__hit", hit), keys, order, cell, reach, reach)
+    ends = lambda x: x.rlike(r"[.!?…]\s*$")
+    b, a = F.collect_list(word).over(w.rowsBetween(-reach, -1)), F.collect_list(word).over(w.rowsBetween(0, reach))
+    near = rows.withColumn("__b", b).withColumn("__a", a).filter(own & F.col("__hit"))
+    first = lambda c: F.array_position(F.transform(c, ends), True)
+    pb, pa = first(F.reverse("__b")), first(F.slice("__a", 1, reach))
+    near = near.withColumn("__l", F.when(pb > 0, pb - 1).otherwise(F.size("__b"))).withColumn("__r", F.when(pa > 0, pa - 1).otherwise(F.least(F.lit(reach), F.size("__a") - 1)))
+    short = F.col("__l") + F.col("__r") + 1 < least
+    left, right = F.when(short, F.least(F.lit(fallback), F.size("__b"))).otherwise(F.col("__l")), F.when(short, F.least(F.lit(fallback), F.size("__a") - 1)).otherwise(F.col("__r"))
+    near = near.withColumns({"__l": left.cast("int"), "__r": right.cast("int")})
+    said = F.concat(F.slice("__b", F.size("__b") - F.col("__l") + 1, F.col("__l")), F.array(F.concat(F.lit("**"), F.trim(word), F.lit("**"))), F.slice("__a", F.lit(2), F.col("__r")))
+    return near.withColumn(out, F.array_join(F.transform(said, lambda x: F.trim(x)), " ")).select(*df.columns, out)
 
 
 def stride(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int, cell: float = CELL) -> DataFrame:

@@ -62,10 +62,10 @@ def q_precedence_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge_fields(new, old, "file", ["signer", "verdict"])
 
 
-@add("q_upsert", f"with {MAN}, upd as (select id, '' as region, title || ' (v2)' as title from man where n_segs > '5') select id, case when upd.id is null then man.region else coalesce(nullif(upd.region, ''), man.region) end as region, coalesce(upd.title, man.title) as title from man left join upd using (id)")
+@add("q_upsert", f"with {MAN}, upd as (select id, '' as region, title || ' (v2)' as title from man where try_cast(case when regexp_full_match(n_segs, '[0-9]+') then n_segs end as bigint) > 5) select id, case when upd.id is null then man.region else coalesce(nullif(upd.region, ''), man.region) end as region, coalesce(upd.title, man.title) as title from man left join upd using (id)")
 def q_upsert(spark: SparkSession, d: str) -> DataFrame:
     old = manifest(spark, d).select("id", "region", "title")
-    new = manifest(spark, d).filter("n_segs > '5'").select("id", F.lit("").alias("region"), F.concat("title", F.lit(" (v2)")).alias("title"))
+    new = manifest(spark, d).filter(r"try_cast(case when n_segs rlike '\\A[0-9]+\\z' then n_segs end as bigint) > 5").select("id", F.lit("").alias("region"), F.concat("title", F.lit(" (v2)")).alias("title"))
     return upsert(new, old, "id", ["region"]).select("id", "region", "title")
 
 

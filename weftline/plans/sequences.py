@@ -150,14 +150,17 @@ def q_sentences(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("video", F.col("sentence").cast("long").alias("sentence")).agg(F.count(F.lit(1)).alias("n_words"), F.min("start").alias("start"), F.max("end_sec").alias("end_sec"))
 
 
-@add("q_context", f"with {ASR}, c as (select video, idx, word, coalesce(array_to_string(list(word) over (partition by video order by idx rows between 5 preceding and 1 preceding), ' '), '') as before, coalesce(array_to_string(list(word) over (partition by video order by idx rows between 1 following and 5 following), ' '), '') as after from heard where word is not null) select video, idx, before || ' **' || word || '** ' || after as context from c where lower(trim(word, ' .,;:!?¿¡')) = 'agua'")
+_ENDS = "lambda x: regexp_matches(x, '[.!?…]\\s*$')"
+
+
+@add("q_context", f"""with {ASR}, c as (select video, idx, word, coalesce(list(word) over (partition by video order by idx rows between 15 preceding and 1 preceding), []) as b, list(word) over (partition by video order by idx rows between current row and 15 following) as a from heard where word is not null),
+h as (select *, list_position(list_transform(list_reverse(b), {_ENDS}), true) as pb, list_position(list_transform(a[1:15], {_ENDS}), true) as pa from c where lower(trim(word, ' .,;:!?¿¡')) = 'agua'), n as (select *, case when coalesce(pb, 0) = 0 then len(b) else pb - 1 end as l, case when coalesce(pa, 0) = 0 then least(15, len(a) - 1) else pa - 1 end as r from h),
+m as (select *, case when l + r < 3 then least(12, len(b)) else l end as l2, case when l + r < 3 then least(12, len(a) - 1) else r end as r2 from n)
+select video, idx, array_to_string(list_transform(b[len(b) - l2 + 1:] || ['**' || trim(word, ' ') || '**'] || a[2:r2 + 1], lambda x: trim(x, ' ')), ' ') as context from m""")
 def q_context(spark: SparkSession, d: str) -> DataFrame:
-    """Five words on each side of each hit, the hit marked."""
-    w = W.partitionBy("video").orderBy("idx")
-    h = heard(spark, d).filter("word is not null")
-    side = lambda a, b: F.array_join(F.collect_list("word").over(w.rowsBetween(a, b)), " ")
-    c = h.withColumn("before", side(-5, -1)).withColumn("after", side(1, 5)).filter(F.lower(F.expr("trim(BOTH ' .,;:!?¿¡' FROM word)")) == "agua")
-    return c.select("video", "idx", F.concat("before", F.lit(" **"), "word", F.lit("** "), "after").alias("context"))
+    """The sentence around each hit, the hit marked: up to 15 words to each side, to the sentence's edge; 12 where that gives less than four words."""
+    h = heard(spark, d).filter("word is not null").select("video", "idx", "word")
+    return S.contexts(h, ["video"], ["idx"], "word", F.lower(F.expr("trim(BOTH ' .,;:!?¿¡' FROM word)")) == "agua", 15, 12, 4, "context", 4096).select("video", "idx", "context")
 
 
 @add("q_lookback_flag", f"with {ASR}, f as (select video, idx, word, coalesce(bool_or(lower(trim(word, ' .,;:!?¿¡')) in ('no', 'sin', 'nunca')) over (partition by video order by idx rows between 2 preceding and 1 preceding), false) as negated from heard) select lower(trim(word, ' .,;:!?¿¡')) as w, count(*) as n, count(*) filter (where negated) as n_negated from f where word is not null group by 1 having count(*) filter (where negated) > 0")

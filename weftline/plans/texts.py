@@ -106,11 +106,19 @@ def q_matched_form(spark: SparkSession, d: str) -> DataFrame:
     return clips(spark, d).select("file", T.matched_form(F.col("surface"), F.coalesce(families[T.fold_key(w)], F.array(w))).alias("form"))
 
 
-@add("q_visemes", f"with {CLIPS} select word, len(regexp_extract_all(translate(lower(word), 'áéíóú', 'aeiou'), '[aeiou]'))::bigint as n_vowels, len(regexp_extract_all(translate(lower(word), 'áéíóú', 'aeiou'), '[ou]'))::bigint as n_round from clips group by 1")
+_SAID = "lower(word)"
+for _p, _r in T.SOUNDS:
+    _SAID = f"regexp_replace({_SAID}, '{_p}', '{_r.replace('$', chr(92))}', 'g')"
+_OPEN = " ".join(f"when '{k}' then {o}" for k, (o, _) in T.VISEMES.items())
+_ROUND = ", ".join(f"'{k}'" for k, (_, r) in T.VISEMES.items() if r > 0.5)
+
+
+@add("q_visemes", f"with {CLIPS}, w as (select distinct word from clips), s as (select word, list_filter(string_split({_BARE.replace('{0}', _SAID)}, ''), lambda x: x in ({', '.join(f"'{k}'" for k in T.VISEMES)})) as v from w) select word, len(v)::bigint as n_shapes, len(list_filter(v, lambda x: x in ({_ROUND})))::bigint as n_round, round(list_avg(list_transform(v, lambda x: (case x {_OPEN} end)::double)), 6) as mean_open from s")
 def q_visemes(spark: SparkSession, d: str) -> DataFrame:
-    v = T.visemes(F.col("word"))
-    w = clips(spark, d).select("word").distinct()
-    return w.select("word", F.size(v).cast("long").alias("n_vowels"), F.size(F.filter(v, lambda x: x["round"] > 0.5)).cast("long").alias("n_round"))
+    """How many visible sounds a word has, how many of them are round, and how open they are in the mean."""
+    s = clips(spark, d).select("word").distinct().withColumn("v", T.visemes(F.col("word")))
+    open_ = F.aggregate("v", F.lit(0.0), lambda t, x: t + x["open"]) / F.nullif(F.size("v"), F.lit(0))
+    return s.select("word", F.size("v").cast("long").alias("n_shapes"), F.size(F.filter("v", lambda x: x["round"] > 0.5)).cast("long").alias("n_round"), F.round(open_, 6).alias("mean_open"))
 
 
 @add("q_prefix_alike", f"with {CLIPS} select file, starts_with(lower(surface), lower(word)) or starts_with(lower(word), lower(surface)) as alike, starts_with(lower(surface), substr(lower(word), 1, 5)) as same_stem from clips")

@@ -140,3 +140,11 @@ def chunks(df: DataFrame, duration: str, size: float) -> DataFrame:
 def every_nth(frames: DataFrame, frame: str, n: int) -> DataFrame:
     """Every n-th frame of a scan, from frame 0, with `sampled`, its number among them."""
     return frames.filter(F.col(frame) % n == 0).withColumn("sampled", (F.col(frame) / n).cast("long"))
+
+
+def parts(spark: SparkSession, path: str, keys: dict[str, Sequence[str]]) -> DataFrame:
+    """Rows of a table in folders by key; only the folders of the wanted keys are read."""
+    df = spark.read.parquet(path)
+    for k, wanted in keys.items():
+        df = df.filter(F.col(k).cast("string").isin(*wanted))
+    return df

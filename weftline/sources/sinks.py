@@ -63,3 +63,13 @@ def replace_upserted(df: DataFrame, path: str, key: str, keep_if_blank: Sequence
 
 def write_xml(df: DataFrame, path: str, root: str, row: str) -> None:
     df.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", row).save(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """A JSON text a row; null fields are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_parts(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Compressed columns in one folder a key; a key's rows come together, dealt into several files by a hash where they are many."""
+    df.repartition(*keys, F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode("overwrite").option("maxRecordsPerFile", 1 << 20).partitionBy(*keys).parquet(path)

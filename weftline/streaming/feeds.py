@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,8 +32,3 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
         q = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{where}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/rows")
-
-
-def scratch() -> str:
-    """A folder for tests."""
-    return tempfile.mkdtemp(prefix="weftline-")

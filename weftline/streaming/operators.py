@@ -29,15 +29,15 @@ def distinct_within(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def absence(stream: DataFrame, key: str, time: str, present: str, threshold: int) -> DataFrame:
+def absence(stream: DataFrame, key: str, time: str, present: str, threshold: int, tie: str) -> DataFrame:
     """A row whenever a key was absent for `threshold` successive rows; the count then starts anew: key, at, n.
 
-    State per key is one counter; rows of a batch are taken in the order of time.
+    State per key is one counter; rows of a batch are taken in the order of time, those of one time by `tie`.
     """
 
     def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(time, kind="stable")
+        rows = pd.concat(list(frames)).sort_values([time, tie])
         found = []
         for at, here in zip(rows[time], rows[present]):
             run = 0 if here else run + 1
