@@ -43,16 +43,19 @@ def phrase_key(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(c, r"\s+"), fold_key), lambda x: x != ""), " ")
 
 
+# What is done to a page's text, in this order.
+HTML_RULES = (
+    (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), (r"(?i)</p\s*>", "\n\n"), (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", " "),
+    ("&nbsp;", " "), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&iexcl;", "¡"), ("&iquest;", "¿"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
+    (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"\A\s+|\s+\z", ""),
+)
+
+
 def strip_html(c: Column) -> Column:
     """The text of HTML: scripts and styles go, paragraphs end in two line breaks and <br> in one, tags become blanks, common entities are read, blanks and line breaks squeezed."""
-    steps = (
-        (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), (r"(?i)</p\s*>", "\n\n"), (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", " "),
-        ("&nbsp;", " "), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&quot;", '"'), ("&iexcl;", "¡"), ("&iquest;", "¿"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
-        (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"),
-    )
-    for pattern, plain in steps:
+    for pattern, plain in HTML_RULES:
         c = F.regexp_replace(c, pattern, plain)
-    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    return c
 
 
 def between(c: Column, start: str, end: str) -> Column:

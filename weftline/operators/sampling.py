@@ -25,13 +25,13 @@ def round_robin(df: DataFrame, group: str, stratum: str, order: Sequence[str], q
 
 def seeded(df: DataFrame, keys: Sequence[str], ident: str, n: int, seed: int) -> DataFrame:
     """n rows of each key in the order of a seeded hash: a sample without replacement that doesn't depend on partitions."""
-    return cap(df, keys, [F.xxhash64(F.lit(seed), ident), ident], n)
+    return cap(df, keys, [F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(ident).cast("string"))), ident], n)
 
 
 def resampled(df: DataFrame, group: str, ident: str, keep: Column, size: int, reps: int, seed: int) -> DataFrame:
     """`reps` subsets of `size` rows of each group, the rows for which `keep` holds always among them. Adds rep."""
     many = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    return cap(many, [group, "rep"], [F.when(keep, 0).otherwise(1), F.xxhash64(F.lit(seed), "rep", ident), ident], size)
+    return cap(many, [group, "rep"], [F.when(keep, 0).otherwise(1), F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col(ident).cast("string"))), ident], size)
 
 
 def quota_fill(df: DataFrame, prefer: Column, order: Sequence[str], n: int, cell: float = 1 << 16) -> DataFrame:

@@ -48,10 +48,15 @@ def q_vtt_cues(spark: SparkSession, d: str) -> DataFrame:
     return c.select("video", F.col("idx").cast("long").alias("idx"), F.round("start", 3).alias("start"), F.round("end_sec", 3).alias("end_sec"), "text")
 
 
-@add("q_transcript_words")
+_TAG = r"^\s*([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ .]+):\s*"
+
+
+@add("q_transcript_words", f"""with l as (select distinct doc_id, text from documents where source = 'estenografica' and text is not null), n as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from l),
+s as (select *, last_value(nullif(regexp_extract(line, '{_TAG}', 1), '') ignore nulls) over (partition by doc_id order by n rows unbounded preceding) as speaker from n), w as (select doc_id, speaker, unnest(list_filter(string_split_regex(regexp_replace(line, '{_TAG}', ''), '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '')) as word from s)
+select coalesce(speaker, '(none)') as speaker, count(*) as n, count(distinct doc_id) as n_documents from w group by 1""")
 def q_transcript_words(spark: SparkSession, d: str) -> DataFrame:
     """Words of the transcripts with their speaker: how many of each."""
-    t = readers.transcript(table(spark, d, "documents").filter("source = 'estenografica' and text is not null"), "doc_id", "text")
+    t = readers.transcript(table(spark, d, "documents").filter("source = 'estenografica' and text is not null").select("doc_id", "text").distinct(), "doc_id", "text")
     return t.groupBy(F.coalesce("speaker", F.lit("(none)")).alias("speaker")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 

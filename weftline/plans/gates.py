@@ -10,7 +10,8 @@ from weftline.operators.lookup import lookup_join
 from weftline.operators.sequences import lag_in_cells, longest_run
 from weftline.plans.common import ASR, CLIPS, EV, MAN, REV, SEG, clips, events, heard, manifest, review, segments
 from weftline.plans.registry import CORE
-from weftline.plans.sheets import loaded
+from weftline.session import cut
+from weftline.plans.sheets import JUDGED_SQL, loaded
 from weftline.plans.spans import frame_rates
 
 add = CORE.add
@@ -18,6 +19,16 @@ HARD_GATES = ("integrity", "temporal")
 _RATE = "rate as (select id as video, try_cast(split_part(trim(fps, ' '), '/', 1) as double) / case when fps like '%/%' then try_cast(split_part(trim(fps, ' '), '/', 2) as double) else 1 end as fps from man where trim(coalesce(fps, ''), ' ') <> '')"
 
 STILL_LIMIT = 3
+
+
+class Inputs:
+    """The tables that several gates read, each row once; written to the shared folder if the gates run together."""
+
+    def __init__(self, spark: SparkSession, d: str, together: bool = False) -> None:
+        keep = cut if together else lambda df: df
+        self.segments, self.review, self.manifest = keep(segments(spark, d)), keep(review(spark, d)), manifest(spark, d)
+
+
 _ACT = f"""{EV}, act as (select user_id, bin, avg(value) as v from ev group by 1, 2), fl as (select *, v < 20 as still, row_number() over (partition by user_id order by bin) - row_number() over (partition by user_id, v < 20 order by bin) as k from act),
 runs as (select user_id, still, k, count(*) as n from fl group by 1, 2, 3), acts as (select user_id, coalesce(max(case when still then n end), 0)::bigint as longest_still from runs group by 1), fr as (select user_id, avg((not still)::int) as active from fl group by 1)"""
 
@@ -55,11 +66,12 @@ temporal as (
  union all select 'FLAG', video, seg, 'long_review_timing' from rn where y - x >= 30)"""
 
 
-def temporal_issues(spark: SparkSession, d: str) -> DataFrame:
+def temporal_issues(spark: SparkSession, d: str, own: Inputs | None = None) -> DataFrame:
     """Segments against their frames, words against their order, reviews against their times."""
-    s = segments(spark, d).select("video", "version", "file", "start_frame", "end_frame", "start_sec", "n_frames")
+    own = own or Inputs(spark, d)
+    s = own.segments.select("video", "version", "file", "start_frame", "end_frame", "start_sec", "n_frames")
     s = lag_in_cells(s, ["video", "version"], ["start_frame", "file"], ["end_frame"], 1 << 14)
-    s = lookup_join(s, frame_rates(manifest(spark, d)).select("video", (F.col("num") / F.col("den")).alias("fps")), ["video"])
+    s = lookup_join(s, frame_rates(own.manifest).select("video", (F.col("num") / F.col("den")).alias("fps")), ["video"])
     n = F.lit(None).cast("string")
     seg = issues_of(s, [
         (F.expr("end_frame <= start_frame"), "HARD", "non_positive_duration", n), (F.expr("abs(end_frame - start_frame - n_frames) > 1"), "HARD", "frame_count_mismatch", n),
@@ -68,7 +80,7 @@ def temporal_issues(spark: SparkSession, d: str) -> DataFrame:
     w = lag_in_cells(heard(spark, d).select("video", "idx", "start", "end_sec"), ["video"], ["idx"], ["start"], 4096)
     word = issues_of(w, [(F.expr("start < 0"), "HARD", "negative_time", n), (F.expr("end_sec < start"), "HARD", "inverted_word", n), (F.expr("start < prev.start - 1e-6"), "HARD", "non_monotonic", n)], "temporal", "video", "idx")
     number = lambda c: F.when(F.trim(c).rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z"), F.trim(c).try_cast("double"))
-    r = review(spark, d).filter("trim(coalesce(sign_start, '')) <> '' or trim(coalesce(sign_end, '')) <> ''").select("source", "row_no", F.regexp_extract("file", r"(.{11})\.mp4$", 1).alias("video"), number("sign_start").alias("x"), number("sign_end").alias("y"))
+    r = own.review.filter("trim(coalesce(sign_start, '')) <> '' or trim(coalesce(sign_end, '')) <> ''").select("source", "row_no", F.regexp_extract("file", r"(.{11})\.mp4$", 1).alias("video"), number("sign_start").alias("x"), number("sign_end").alias("y"))
     rev = issues_of(r, [
         (F.expr("x is null or y is null"), "FLAG", "unparseable_review_timing", n), (F.expr("x is not null and y is not null and (x < 0 or y < 0)"), "HARD", "negative_review_timing", n),
         (F.expr("y <= x"), "HARD", "inverted_review_timing", n), (F.expr("y - x >= 30"), "FLAG", "long_review_timing", n),
@@ -89,9 +101,10 @@ integrity as (select 'FLAG' as severity, id as video, null as seg, 'stale_manife
  union all select distinct 'FLAG', video, null, 'clips_without_segments' from clips where video not in (select video from seg))"""
 
 
-def integrity_issues(spark: SparkSession, d: str) -> DataFrame:
+def integrity_issues(spark: SparkSession, d: str, own: Inputs | None = None) -> DataFrame:
     """Manifest against segments, segments against the manifest, clips against segments."""
-    s, m = segments(spark, d), manifest(spark, d)
+    own = own or Inputs(spark, d)
+    s, m = own.segments, own.manifest
     none = F.lit(None).cast("string")
     tag = lambda df, sev, video, seg, kind: df.select(F.lit("integrity").alias("gate"), F.lit(sev).alias("severity"), F.col(video).alias("video"), seg.alias("seg"), F.lit(kind).alias("kind"), none.alias("detail"))
     actual = s.filter("version = 'segments'").groupBy(F.col("video").alias("id")).agg(F.count(F.lit(1)).alias("actual"))
@@ -114,8 +127,8 @@ def q_gate_integrity(spark: SparkSession, d: str) -> DataFrame:
 _PRES = f"{SEG}, presence as (select 'FLAG' as severity, video, version || '/' || file as seg, 'excluded' as kind from seg where not coalesce(hand_coverage >= 0.6, false) or coalesce(end_sec - start_sec, 0) < 2)"
 
 
-def presence_issues(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d)
+def presence_issues(spark: SparkSession, d: str, own: Inputs | None = None) -> DataFrame:
+    s = (own or Inputs(spark, d)).segments
     return issues_of(s, [(F.expr("not coalesce(hand_coverage >= 0.6, false) or coalesce(end_sec - start_sec, 0) < 2"), "FLAG", "excluded", F.col("hand_coverage"))], "presence", "video", F.concat("version", F.lit("/"), "file"))
 
 
@@ -130,8 +143,8 @@ _REVI = f"""{REV}, rr as (select *, source || ':' || row_no as seg, regexp_extra
  union all select 'FLAG', video, seg, 'incomplete_timing' from rr where (a = '') <> (b = ''))"""
 
 
-def review_issues(spark: SparkSession, d: str) -> DataFrame:
-    r = review(spark, d).withColumn("video", F.regexp_extract("file", r"(.{11})\.mp4$", 1))
+def review_issues(spark: SparkSession, d: str, own: Inputs | None = None) -> DataFrame:
+    r = (own or Inputs(spark, d)).review.withColumn("video", F.regexp_extract("file", r"(.{11})\.mp4$", 1))
     a, b = F.trim(F.coalesce("sign_start", F.lit(""))), F.trim(F.coalesce("sign_end", F.lit("")))
     v = F.col("verdict")
     return issues_of(r, [(~v.isin("y", "n", "neg", ""), "FLAG", "invalid_verdict", v), (v.isin("y", "n", "neg") & (F.trim(F.coalesce("signer", F.lit(""))) == ""), "FLAG", "verdict_without_signer", v), ((a == "") != (b == ""), "FLAG", "incomplete_timing", v)], "review", "video", F.concat_ws(":", "source", F.col("row_no").cast("string")))
@@ -142,16 +155,18 @@ def q_gate_review(spark: SparkSession, d: str) -> DataFrame:
     return review_issues(spark, d).select("severity", "video", "seg", "kind")
 
 
-def _checked(spark: SparkSession, d: str) -> DataFrame:
+def _checked(own: Inputs, active: DataFrame) -> DataFrame:
     n = lambda df, g: df.agg(F.count(F.lit(1)).alias("n_checked")).select(F.lit(g).alias("gate"), "n_checked")
-    s = segments(spark, d)
-    return all_issues([n(s, "integrity"), n(s, "temporal"), n(s, "presence"), n(activity(spark, d), "activity"), n(review(spark, d), "review")])
+    s = own.segments.agg(F.count(F.lit(1)).alias("n_checked")).select(F.explode(F.array(*map(F.lit, ("integrity", "temporal", "presence")))).alias("gate"), "n_checked")
+    return all_issues([s, n(active, "activity"), n(own.review, "review")])
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    a = activity(spark, d).filter((F.col("longest_still") > STILL_LIMIT) | (F.col("active") < 0.5))
+    """All gates rolled up. What several of them read is written once."""
+    own, every = Inputs(spark, d, True), cut(activity(spark, d))
+    a = every.filter((F.col("longest_still") > STILL_LIMIT) | (F.col("active") < 0.5))
     still = a.select(F.lit("activity").alias("gate"), F.lit("FLAG").alias("severity"), F.col("user_id").cast("string").alias("video"), F.lit(None).cast("string").alias("seg"), F.lit("still").alias("kind"), F.col("longest_still").cast("string").alias("detail"))
-    return roll_up(all_issues([integrity_issues(spark, d), temporal_issues(spark, d), presence_issues(spark, d), still, review_issues(spark, d)]), _checked(spark, d))
+    return roll_up(all_issues([integrity_issues(spark, d, own), temporal_issues(spark, d, own), presence_issues(spark, d, own), still, review_issues(spark, d, own)]), _checked(own, every))
 
 
 def _parts(*ctes: str) -> str:
@@ -184,7 +199,7 @@ def q_gate_exit(spark: SparkSession, d: str) -> DataFrame:
     return overall(results(spark, d), HARD_GATES)
 
 
-@add("q_loaded_times")
+@add("q_loaded_times", JUDGED_SQL + "select verdict, count(*) as n, round(median(ev - sv), 6) as med from judged where reason is null and not sb group by 1")
 def q_loaded_times(spark: SparkSession, d: str) -> DataFrame:
     """Length of the signed moments that could be loaded, by verdict."""
     r = loaded(spark, d).filter("sign_start is not null")

@@ -26,13 +26,13 @@ def q_cap_per_group(spark: SparkSession, d: str) -> DataFrame:
     return cap(clips(spark, d).select("word", "file", "video_start"), ["word"], ["video_start", "file"], 3).select("word", "file")
 
 
-@add("q_seeded_sample")
+@add("q_seeded_sample", f"with {CLIPS}, k as (select word, file, row_number() over (partition by word order by md5('17:' || file), file) as rn from clips) select word, file from k where rn <= 4")
 def q_seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     """Four clips of each word in the order of a seeded hash."""
     return seeded(clips(spark, d).select("word", "file"), ["word"], "file", 4, 17)
 
 
-@add("q_candidate_size")
+@add("q_candidate_size", f"with {CLIPS}, f as (select word, min(file) as first from clips group by 1), m as (select c.word, file, first, rep from clips c join f using (word), (select unnest(generate_series(1, 20)) as rep)), k as (select *, row_number() over (partition by word, rep order by (file = first)::int desc, md5('5:' || rep || ':' || file), file) as rn from m) select word, count(distinct file) as n_reached, count_if(file = first)::bigint as n_first, count(*) as n from k where rn <= 3 group by 1")
 def q_candidate_size(spark: SparkSession, d: str) -> DataFrame:
     """Twenty subsets of three clips of each word, its first clip always among them, and how many clips the subsets reach."""
     c = clips(spark, d).select("word", "file")

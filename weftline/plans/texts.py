@@ -39,11 +39,16 @@ def q_html_strip(spark: SparkSession, d: str) -> DataFrame:
     return h.select("doc_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"), F.regexp_extract("html", 'href="([^"]*)"', 1).alias("href"), F.length(F.regexp_replace("html", "<[^>]+>", "")).cast("long").alias("n_bare"))
 
 
-@add("q_html_text")
+_PAGE = "'<script>a<b</script><p>' || regexp_replace(text, '[<>&]', ' ', 'g') || '</p>m&aacute;s&iquest;<br/>fin'"
+for _p, _r in T.HTML_RULES:
+    _PAGE = f"regexp_replace({_PAGE}, '{_p}', '{_r}', 'g')"
+
+
+@add("q_html_text", f"select doc_id, {_PAGE} as text from documents where text is not null")
 def q_html_text(spark: SparkSession, d: str) -> DataFrame:
     """The whole stripped text of the same pages, with paragraphs and entities."""
     docs = table(spark, d, "documents").filter("text is not null")
-    html = F.concat(F.lit("<script>a<b</script><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p>m&aacute;s<br/>fin"))
+    html = F.concat(F.lit("<script>a<b</script><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p>m&aacute;s&iquest;<br/>fin"))
     return docs.select("doc_id", T.strip_html(html).alias("text"))
 
 
