@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, Window as W, functions as F
 
-from weftline.operators.lookup import all_null_safe, join_null_safe
+from weftline.operators.lookup import all_null_safe, join_null_safe, lookup_join
 from weftline.operators.temporal import neighbours
 from weftline.session import cut
 
@@ -128,12 +128,12 @@ def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") ->
     return both.withColumn(out, z).drop("__m", "__n", "__d")
 
 
-def z_score(value: str, keys: Sequence[str]) -> Column:
-    """(value - mean) / population deviation; only centred where the deviation is nearly 0."""
-    w = W.partitionBy(*keys)
-    sd = F.stddev_pop(value).over(w)
-    d = F.col(value) - F.avg(value).over(w)
-    return F.when(sd > 1e-9, d / sd).otherwise(d)
+def z_score(df: DataFrame, value: str, keys: Sequence[str], out: str = "z") -> DataFrame:
+    """(value - mean) / population deviation of the key; only centred where the deviation is nearly 0. Mean and deviation are combined before the shuffle and joined back."""
+    keys = list(keys)
+    told = lookup_join(df, df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__d")), keys)
+    centred = F.col(value) - F.col("__m")
+    return told.withColumn(out, F.when(F.col("__d") > 1e-9, centred / F.col("__d")).otherwise(centred)).drop("__m", "__d")
 
 
 def onsets(df: DataFrame, keys: Sequence[str], order: str, value: str, high: Column, low: Column, lull: int, cell: float = CELL) -> DataFrame:
@@ -155,25 +155,24 @@ def bursts(df: DataFrame, keys: Sequence[str], frame: str, active: str, tolerate
     return groups.groupBy(*keys, "__g").agg(F.min("start_at").alias("onset"), F.max("end_at").alias("offset")).drop("__g")
 
 
-def interpolate(df: DataFrame, keys: Sequence[str], index: str, value: str, out: str) -> DataFrame:
-    """Fill null values on the line between the known values next to them by index; flat beyond the first and the last; null where none is known."""
-    back = W.partitionBy(*keys).orderBy(index).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*keys).orderBy(index).rowsBetween(0, W.unboundedFollowing)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(index).alias("i"), F.col(value).alias("v")))
-    x = df.withColumn("__k", known).withColumn("__a", F.last("__k", True).over(back)).withColumn("__b", F.first("__k", True).over(ahead))
-    line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (F.col(index) - F.col("__a.i")) / F.nullif(F.col("__b.i") - F.col("__a.i"), F.lit(0))
-    return x.withColumn(out, F.coalesce(value, line, "__a.v", "__b.v")).drop("__k", "__a", "__b")
+def interpolate(df: DataFrame, keys: Sequence[str], index: str, value: str, out: str, cell: float = CELL) -> DataFrame:
+    """Fill null values on the line between the known values next to them by index; flat beyond the first and the last; null where none is known. The known values next to a row are found by cells (temporal.neighbours)."""
+    known = df.filter(F.col(value).isNotNull() & F.col(index).isNotNull()).select(*keys, F.col(index).alias("__at"), F.col(value).alias("__v"))
+    near = neighbours(df, known, keys, index, "__at", ["__v"], cell)
+    line = F.col("before.__v") + (F.col("after.__v") - F.col("before.__v")) * (F.col(index) - F.col("before.t")) / F.nullif(F.col("after.t") - F.col("before.t"), F.lit(0))
+    return near.withColumn("__new", F.coalesce(value, line, "before.__v", "after.__v")).drop("before", "after", *([out] if out in df.columns else [])).withColumnRenamed("__new", out)
 
 
-def carried(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
+def carried(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, cell: float = CELL) -> DataFrame:
     """The last known value up to each row."""
-    return df.withColumn(out, F.last(value, True).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    known = df.filter(F.col(value).isNotNull() & F.col(order).isNotNull()).select(*keys, F.col(order).alias("__at"), F.col(value).alias("__v"))
+    return neighbours(df, known, keys, order, "__at", ["__v"], cell).withColumn("__new", F.col("before.__v")).drop("before", "after", *([out] if out in df.columns else [])).withColumnRenamed("__new", out)
 
 
-def groups_closed_by(df: DataFrame, keys: Sequence[str], order: str, closes: Column, out: str) -> DataFrame:
-    """Number the groups of rows, each closed after a row for which `closes` holds."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("__c", F.coalesce(closes, F.lit(False)).cast("int")).withColumn(out, F.coalesce(F.sum("__c").over(w), F.lit(0))).drop("__c")
+def groups_closed_by(df: DataFrame, keys: Sequence[str], order: str, closes: Column, out: str, cell: float = CELL) -> DataFrame:
+    """Number the groups of rows, from 0, each closed after a row for which `closes` holds. Closed groups are counted in cells."""
+    own = df.withColumn("__c", F.coalesce(closes, F.lit(False)).cast("int"))
+    return running_sum(own, keys, [order], "__c", cell, "__upto").withColumn(out, F.col("__upto") - F.col("__c")).drop("__c", "__upto")
 
 
 def thin(df: DataFrame, keys: Sequence[str], time: str, tie: str, apart: float) -> DataFrame:
@@ -241,9 +240,9 @@ def density(df: DataFrame, keys: Sequence[str], time: str, reach: float, out: st
     return rows.withColumn(out, F.count(F.lit(1)).over(w).cast("long")).filter(F.col("__cell") == at(t)).drop("__cell")
 
 
-def extrema(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def extrema(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, cell: float = CELL) -> DataFrame:
     """How often the direction of a series changes; equal neighbours have none."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    d = df.withColumn("__d", F.signum(F.col(value) - F.lag(value).over(w))).filter("__d <> 0")
-    turns = d.withColumn("__t", (F.col("__d") != F.lag("__d").over(w)).cast("int"))
+    own = df.select(*dict.fromkeys([*keys, *order, value]))
+    d = lag_in_cells(own, keys, order, [value], cell).withColumn("__d", F.signum(F.col(value) - F.col(f"prev.{value}"))).drop("prev").filter("__d <> 0")
+    turns = lag_in_cells(d, keys, order, ["__d"], cell).withColumn("__t", (F.col("__d") != F.col("prev.__d")).cast("int"))
     return df.select(*keys).distinct().join(turns.groupBy(*keys).agg(F.coalesce(F.sum("__t"), F.lit(0)).alias("n_extrema")), list(keys), "left").fillna(0, ["n_extrema"])

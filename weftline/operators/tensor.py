@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions.vectors import mirror_row
 from weftline.operators.lookup import join_null_safe
+from weftline.operators.temporal import in_interval
 
 # Rows of the shoulders within a frame.
 SHOULDERS = (53, 54)
@@ -97,12 +98,15 @@ def centred_contour(points: DataFrame, keys: Sequence[str], rows: Sequence[int])
     return p.select(*keys, "frame", F.when(F.col("n") == len(rows), flat).alias("contour"))
 
 
-def split_at_changes(spans: DataFrame, changes: DataFrame, key: str, start: str, end: str, at: str) -> DataFrame:
-    """Spans cut at the change points strictly inside them; part numbers the pieces."""
-    inside = spans.join(changes.groupBy(key).agg(F.array_sort(F.collect_set(at)).alias("__c")), key, "left")
-    bounds = F.concat(F.array(F.col(start)), F.filter(F.coalesce("__c", F.array().cast(f"array<{dict(changes.dtypes)[at]}>")), lambda x: (x > F.col(start)) & (x < F.col(end))), F.array(F.col(end)))
-    own = inside.withColumn("__b", bounds).drop("__c")
-    pieces = own.select("*", F.posexplode(F.slice("__b", F.lit(1), F.size("__b") - 1)).alias("part", "__s"))
+def split_at_changes(spans: DataFrame, changes: DataFrame, key: str, start: str, end: str, at: str, width: float = 1 << 12) -> DataFrame:
+    """Spans cut at the change points strictly inside them; part numbers the pieces. Points meet spans by buckets of `width` (temporal.in_interval), so no key's points come together; a span's own points are what its pieces need. Copies of spans count once."""
+    own = spans.distinct()
+    inside = in_interval(changes.select(key, F.col(at).alias("__at")).distinct(), own, [key], "__at", start, end, width).filter((F.col("__at") > F.col(start)) & (F.col("__at") < F.col(end)))
+    points = inside.groupBy(*own.columns).agg(F.array_sort(F.collect_set("__at")).alias("__c"))
+    marked = join_null_safe(own, points, own.columns, "left")
+    kind = dict(own.dtypes)[start]
+    bounds = F.concat(F.array(F.col(start)), F.coalesce(F.col("__c"), F.array().cast(f"array<{kind}>")), F.array(F.col(end)))
+    pieces = marked.withColumn("__b", bounds).drop("__c").select("*", F.posexplode(F.slice("__b", F.lit(1), F.size("__b") - 1)).alias("part", "__s"))
     return pieces.withColumn("__e", F.get("__b", F.col("part") + 1)).withColumn(start, F.col("__s")).withColumn(end, F.col("__e")).drop("__b", "__s", "__e")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from weftline.operators.lookup import beside
+from weftline.operators.lookup import beside, lookup_join
 from weftline.functions.text import words
 from weftline.operators import sequences as S
 from weftline.operators.coverage import periods_and_gaps
@@ -168,7 +168,8 @@ def q_lookback_flag(spark: SparkSession, d: str) -> DataFrame:
     """Words negated by one of the two words before them."""
     w = F.lower(F.expr("trim(BOTH ' .,;:!?¿¡' FROM word)"))
     h = heard(spark, d).withColumn("w", w).withColumn("neg", F.col("w").isin("no", "sin", "nunca"))
-    h = h.withColumn("negated", F.coalesce(F.max("neg").over(W.partitionBy("video").orderBy("idx").rowsBetween(-2, -1)), F.lit(False))).filter("word is not null")
+    rows, w, own = S.in_row_blocks(h.select("video", "idx", "word", "w", "neg"), ["video"], ["idx"], 4096, 2, 0)
+    h = rows.withColumn("negated", F.coalesce(F.max("neg").over(w.rowsBetween(-2, -1)), F.lit(False))).filter(own & F.col("word").isNotNull())
     return h.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if("negated").alias("n_negated")).filter("n_negated > 0")
 
 
@@ -199,20 +200,22 @@ def q_density(spark: SparkSession, d: str) -> DataFrame:
 
 @add("q_extrema", f"with {EV}, a as (select user_id, us, event_id, sign(value - lag(value) over (partition by user_id order by us, event_id)) as s from ev), b as (select *, lag(s) over (partition by user_id order by us, event_id) as p from a where s <> 0) select u.user_id, coalesce(sum(case when p is not null and s <> p then 1 end), 0)::bigint as n_extrema from (select distinct user_id from ev) u left join b using (user_id) group by 1")
 def q_extrema(spark: SparkSession, d: str) -> DataFrame:
-    return S.extrema(events(spark, d).select("user_id", "us", "event_id", "value"), ["user_id"], ["us", "event_id"], "value")
+    return S.extrema(events(spark, d).select("user_id", "us", "event_id", "value"), ["user_id"], ["us", "event_id"], "value", CELL)
 
 
 @add("q_word_positions", f"with {ASR}, t as (select video, idx, row_number() over (partition by video order by idx) - 1 as i, count(*) over (partition by video) as n from heard where length(trim(word, ' .,;:!?¿¡')) >= 4) select video, idx, round(case when n > 1 then i / (n - 1.0) else 0 end, 6) as position from t")
 def q_word_positions(spark: SparkSession, d: str) -> DataFrame:
     """Place of each content word in its video, from 0 to 1."""
     h = heard(spark, d).filter(F.length(F.expr("trim(BOTH ' .,;:!?¿¡' FROM word)")) >= 4)
-    return h.select("video", "idx", six(F.percent_rank().over(W.partitionBy("video").orderBy("idx")), "position"))
+    n = h.groupBy("video").agg(F.count(F.lit(1)).alias("n"))
+    placed = lookup_join(S.numbered(h.select("video", "idx"), ["video"], ["idx"], 4096, "i"), n, ["video"])
+    return placed.select("video", "idx", six(F.when(F.col("n") > 1, (F.col("i") - 1) / (F.col("n") - 1)).otherwise(F.lit(0.0)), "position"))
 
 
 @add("q_z_score", f"with {EV}, g as (select user_id, bin // 24 as day, sum(value) as v from ev group by 1, 2), s as (select *, avg(v) over (partition by user_id) as m, stddev_pop(v) over (partition by user_id) as sd from g) select user_id, day, round(case when sd > 1e-9 then (v - m) / sd else v - m end, 6) as z from s")
 def q_z_score(spark: SparkSession, d: str) -> DataFrame:
     g = events(spark, d).groupBy("user_id", F.floor(F.col("bin") / 24).alias("day")).agg(F.sum("value").alias("v"))
-    return g.select("user_id", "day", six(S.z_score("v", ["user_id"]), "z"))
+    return S.z_score(g, "v", ["user_id"]).select("user_id", "day", six(F.col("z"), "z"))
 
 
 @add("q_document_sentences", "with t as (select doc_id, unnest(regexp_extract_all(text, '[^.!?…]+[.!?…]?')) as s from documents where text is not null) select doc_id, count(*) as n_sentences, sum(len(regexp_extract_all(s, '[\\p{L}\\p{N}_]+')))::bigint as n_words from t group by 1")
