@@ -112,7 +112,9 @@ def changed_forms(values: DataFrame, value: str = "value") -> DataFrame:
     the way an accent is stored don't count; case, accents, ordinals and powers do. The canonical member is the
     shortest cleaned form, and of those the first by code point.
     """
-    own = values.select(F.col(value).alias("value")).filter("value is not null").distinct().withColumn("m", mapped(F.col("value"))).filter("m is not null")
+    # Written before it is mapped, or the mapping would be pushed below the distinct and done for every row.
+    own = cut(values.select(F.col(value).alias("value")).filter("value is not null").distinct())
+    own = own.withColumn("m", F.when(F.col("value").rlike(r"[^ -~]"), mapped(F.col("value"))).otherwise(F.col("value"))).filter("m is not null")
     own = own.select("value", F.collate("m", "UNICODE").alias("class"), cleaned(F.col("m")).alias("c"))
     classes = own.groupBy("class").agg(F.min(F.struct(F.length("c").alias("n"), F.col("c"))).alias("least"))
     return own.join(classes, "class").select("value", F.col("least.c").alias("canonical")).filter("canonical <> value")
