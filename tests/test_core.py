@@ -285,3 +285,32 @@ def test_single_rows(spark):
     want = rows(lookup.distinct_rows(df, ["k"]))
     assert rows(lookup.single_rows(df, ["k"])) == want == rows(lookup.single_rows(df, ["k"], max_bytes=1))
     assert lookup.single_rows(df.limit(0), ["k"]).count() == 0
+
+
+def test_frames_don_t_depend_on_blocks(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(rng.choice("ab"), i // 3, i, rng.random() if i % 5 else None) for i in range(400)], "k string, t int, i int, v double")
+    w = W.partitionBy("k").orderBy("t", "i")
+    want = rows(df.select("i", F.round(F.avg("v").over(w.rowsBetween(-4, 4)), 9), F.round(F.sum("v").over(w.rowsBetween(-2, 1)) / 4, 9)))
+    for size in (7, 1 << 16):
+        r, frame, own = S.in_row_blocks(df, ["k"], ["t", "i"], 10.0, 4, 4, size)
+        got = r.withColumn("a", F.avg("v").over(frame)).withColumn("m", F.sum("v").over(frame.rowsBetween(-2, 1)) / 4).filter(own)
+        assert rows(got.select("i", F.round("a", 9), F.round("m", 9))) == want
+    x = S.in_frames(df, ["k"], ["t", "i"], S.rolling("v", 4) | S.moving_average("v", 4), 10.0)
+    assert rows(x.select("i", F.round("roll_mean", 9), F.round("ma", 9))) == want and S.in_frames(df.limit(0), ["k"], ["t"], S.rolling("v", 4)).count() == 0
+
+
+def test_ranks_and_thinning_against_brute_force(spark):
+    rng = random.Random(9)
+    values = [rng.choice([1.5, 2.5, rng.uniform(-1e6, 1e6)]) for _ in range(300)]
+    got = {r["v"]: r["r"] for r in evaluation.average_ranks(spark.createDataFrame([(v,) for v in values], "v double"), "v", "r").collect()}
+    s = sorted(values)
+    assert got == {v: (s.index(v) + 1 + s.index(v) + s.count(v)) / 2 for v in values}
+    events = [(rng.choice(["a", None]), rng.randint(0, 900), i) for i in range(500)]
+    kept = {(r["k"], r["t"], r["i"]) for r in S.thin(spark.createDataFrame(events, "k string, t int, i int"), ["k"], "t", "i", 20).collect()}
+    want, last = set(), {}
+    for k, t, i in sorted(events, key=lambda e: (e[1], e[2])):
+        if k not in last or t - last[k] >= 20:
+            want.add((k, t, i))
+            last[k] = t
+    assert kept == want

@@ -6,7 +6,7 @@ order column (lag_in_cells, running_sum), and what needs a frame of rows in bloc
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, Window as W, functions as F
 
@@ -100,23 +100,30 @@ def trim(df: DataFrame, keys: Sequence[str], order: str, flag: str, buffer: int)
     return df.join(span, list(keys)).filter(F.col(order).between(F.col("__a"), F.col("__b"))).drop("__a", "__b")
 
 
-def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, half: int, cell: float = CELL) -> DataFrame:
-    """Centred mean and population deviation over 2 * half + 1 rows; the frame shrinks at the edges."""
-    rows, w, own = in_row_blocks(df, keys, order, cell, half, half)
-    return rows.withColumn("roll_mean", F.avg(value).over(w)).withColumn("roll_std", F.stddev_pop(value).over(w)).filter(own).drop("__i", "__block")
+#: A column over a frame: what it is, given the frame's window, and the rows before and behind that the frame has.
+Framed = tuple[Callable[[Window], Column], int, int]
 
 
-def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, out: str = "ma", cell: float = CELL) -> DataFrame:
+def in_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, Framed], cell: float = CELL) -> DataFrame:
+    """Add several columns over frames of rows; rows are numbered and blocked once for all of them."""
+    rows, w, own = in_row_blocks(df, keys, order, cell, max(x[1] for x in columns.values()), max(x[2] for x in columns.values()))
+    made = rows.withColumns({out: make(w.rowsBetween(-before, after)) for out, (make, before, after) in columns.items()})
+    return made.filter(own).drop("__i", "__block")
+
+
+def rolling(value: str, half: int) -> dict[str, Framed]:
+    """Centred mean and population deviation over 2 * half + 1 rows, roll_mean and roll_std; the frame shrinks at the edges."""
+    return {"roll_mean": (lambda w: F.avg(value).over(w), half, half), "roll_std": (lambda w: F.stddev_pop(value).over(w), half, half)}
+
+
+def moving_average(value: str, width: int, out: str = "ma") -> dict[str, Framed]:
     """Moving average as of a 'same' convolution: zero beyond the edges, a fixed divisor, even widths lean back."""
-    before = width // 2
-    rows, w, own = in_row_blocks(df, keys, order, cell, before, width - 1 - before)
-    return rows.withColumn(out, F.sum(value).over(w) / F.lit(width)).filter(own).drop("__i", "__block")
+    return {out: (lambda w: F.sum(value).over(w) / F.lit(width), width // 2, width - 1 - width // 2)}
 
 
-def average_of_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, half: int, least: int, out: str = "avg_known", cell: float = CELL) -> DataFrame:
+def average_of_known(value: str, half: int, least: int, out: str = "avg_known") -> dict[str, Framed]:
     """Centred average of the values that aren't null; null where fewer than `least` are known."""
-    rows, w, own = in_row_blocks(df, keys, order, cell, half, half)
-    return rows.withColumn(out, F.when(F.count(value).over(w) >= least, F.avg(value).over(w))).filter(own).drop("__i", "__block")
+    return {out: (lambda w: F.when(F.count(value).over(w) >= least, F.avg(value).over(w)), half, half)}
 
 
 def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> DataFrame:

@@ -81,7 +81,7 @@ round(case when count(known) over (w rows between 2 preceding and 2 following) >
 def q_rolling(spark: SparkSession, d: str) -> DataFrame:
     k, o = ["user_id"], ["us", "event_id"]
     ev = events(spark, d).withColumn("known", F.when(F.col("event_id") % 3 > 0, F.col("value")))
-    x = S.average_of_known(S.moving_average(S.rolling(ev, k, o, "value", 5, CELL), k, o, "value", 4, cell=CELL), k, o, "known", 2, 3, cell=CELL)
+    x = S.in_frames(ev, k, o, S.rolling("value", 5) | S.moving_average("value", 4) | S.average_of_known("known", 2, 3), CELL)
     return x.select("event_id", *[six(F.col(c), c) for c in ("roll_mean", "roll_std", "ma", "avg_known")])
 
 
@@ -98,7 +98,7 @@ def q_onsets(spark: SparkSession, d: str) -> DataFrame:
     """Rises after a lull of two bins, by fixed thresholds and by those of the surrounding bins."""
     g = events(spark, d).groupBy("user_id", F.floor(F.col("bin") / 6).alias("b6")).agg(F.avg("value").alias("v"))
     fixed = S.onsets(g, ["user_id"], "b6", "v", F.lit(45.0), F.lit(40.0), 2).select(F.lit("global").alias("kind"), "user_id", "b6")
-    own = S.rolling(g, ["user_id"], ["b6"], "v", 10)
+    own = S.in_frames(g, ["user_id"], ["b6"], S.rolling("v", 10))
     local = S.onsets(own, ["user_id"], "b6", "v", F.col("roll_mean") + 0.3 * F.col("roll_std"), F.col("roll_mean"), 2).select(F.lit("rolling").alias("kind"), "user_id", "b6")
     return fixed.unionByName(local)
 
