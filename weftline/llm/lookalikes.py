@@ -81,8 +81,9 @@ def composed_pairs() -> list[tuple[str, str]]:
 
 def compose(c: Column) -> Column:
     """Compose Latin letters with the combining marks that follow them."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in composed_pairs()])
-    once = lambda x: F.aggregate(pairs, x, lambda acc, p: F.replace(acc, p["a"], p["b"]))
+    # One literal, letter, mark and composed letter a line: a column for each pair takes seconds to build.
+    pairs = F.split(F.lit("\n".join(a + b for a, b in composed_pairs())), "\n")
+    once = lambda x: F.aggregate(pairs, x, lambda acc, p: F.replace(acc, F.left(p, F.lit(2)), F.right(p, F.lit(1))))
     return F.when(c.rlike(r"\p{M}"), once(once(c))).otherwise(c)
 
 
