@@ -314,3 +314,27 @@ def test_ranks_and_thinning_against_brute_force(spark):
             want.add((k, t, i))
             last[k] = t
     assert kept == want
+
+
+def test_known_values_beside_rows(spark):
+    rng = random.Random(11)
+    cells = [(rng.choice(["a", "b", None]), rng.choice([None, *[rng.randint(0, 120)] * 9]), rng.choice([None, None, None, rng.uniform(0, 9)]), i) for i in range(500)]
+    cells += [("c", i, None, 1000 + i) for i in range(30)] + [("d", 50, 4.0, 2000), *[("d", i, None, 2001 + i) for i in range(0, 100, 9)]]
+    df = spark.createDataFrame(cells, "k string, t int, v double, i int")
+    for cell in (1 << 16, 7):
+        got = {r["i"]: r for r in S.carried(S.interpolate(df, ["k"], "t", "v", "line", cell), ["k"], "t", "v", "last", cell).collect()}
+        assert len(got) == len(cells)
+        for k, t, v, i in cells:
+            known = [] if t is None else [(u, x) for kk, u, x, _ in cells if kk == k and u is not None and x is not None]
+            a, b = min((x for x in known if x[0] == max(y[0] for y in known if y[0] <= t)), default=None) if any(x[0] <= t for x in known) else None, min((x for x in known if x[0] >= t), default=None)
+            line = v if v is not None else a[1] + (b[1] - a[1]) * (t - a[0]) / (b[0] - a[0]) if a and b and a[0] < b[0] else a[1] if a else b[1] if b else None
+            assert got[i]["last"] == (a[1] if a else None), (cell, k, t, v, i)
+            assert got[i]["line"] == (None if line is None else pytest.approx(line, rel=1e-12)), (cell, k, t, v, i)
+
+
+def test_interpolation_goes_through_a_cell_once_each_way(spark, data):
+    """A frame from the row to the cell's end is summed up anew for each row: the square of a cell's rows."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["q_interp"](spark, data)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rowframe" in plan and "currentrow$(), unboundedfollowing$()" not in plan

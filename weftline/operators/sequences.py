@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, Window as W, functions as F
 
-from weftline.operators.lookup import all_null_safe, join_null_safe, lookup_join
+from weftline.operators.lookup import BROADCAST_BYTES, all_null_safe, join_null_safe, lookup_join, measured_bytes
 from weftline.operators.temporal import neighbours
 from weftline.session import cut
 
@@ -162,18 +162,54 @@ def bursts(df: DataFrame, keys: Sequence[str], frame: str, active: str, tolerate
     return groups.groupBy(*keys, "__g").agg(F.min("start_at").alias("onset"), F.max("end_at").alias("offset")).drop("__g")
 
 
+def in_cells(df: DataFrame, keys: Sequence[str], index: str, cell: float = CELL) -> DataFrame:
+    """df with __cell, the cell of its index, and each cell of a key in one partition; null where the index is null or NaN."""
+    return df.withColumn("__cell", F.floor(F.nanvl(F.col(index).cast("double"), F.lit(None)) / F.lit(cell)).cast("long")).repartition(*keys, "__cell")
+
+
+def beside_known(df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], cell: float = CELL) -> DataFrame:
+    """Add for each of `values` the known ones next to a row by index: structs of t, the index, and v: <value>_before, at its own index or the last before, and <value>_after, at its own or the first after.
+
+    Of rows at the same index the least known value counts; rows without an index get none. Both frames grow from the
+    cell's end, so a cell is gone through once each way; cells' ends are carried on where a key has several cells. df
+    may come from in_cells already.
+    """
+    keys, up_to = list(keys), (W.unboundedPreceding, W.currentRow)
+    own = df if "__cell" in df.columns else in_cells(df, keys, index, cell)
+    least = {v: F.min(v).over(W.partitionBy(*keys, "__cell", index)) for v in values}
+    own = own.withColumns({f"__at_{v}": c for v, c in least.items()})
+    at = {v: F.when(F.col("__cell").isNotNull() & F.col(f"__at_{v}").isNotNull(), F.struct(F.col(index).alias("t"), F.col(f"__at_{v}").alias("v"))) for v in values}
+
+    ends = own.filter("__cell is not null").groupBy(*keys, "__cell").agg(*[f(at[v]).alias(f"__{f.__name__}_{v}") for v in values for f in (F.min, F.max)])
+    w = W.partitionBy(*keys)
+    before = {f"__b_{v}": F.last(f"__max_{v}", True).over(w.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)) for v in values}
+    after = {f"__a_{v}": F.last(f"__min_{v}", True).over(w.orderBy(F.desc("__cell")).rowsBetween(W.unboundedPreceding, -1)) for v in values}
+    ends = ends.withColumns(before | after).select(*keys, "__cell", *before, *after)
+    ends = cut(ends.filter(" or ".join(f"`{c}` is not null" for c in (*before, *after))))
+
+    w = W.partitionBy(*keys, "__cell")
+    seen = own.withColumns({f"{v}_before": F.last(at[v], True).over(w.orderBy(index).rowsBetween(*up_to)) for v in values} | {f"{v}_after": F.last(at[v], True).over(w.orderBy(F.desc(index)).rowsBetween(*up_to)) for v in values})
+    size = measured_bytes(ends.select(*keys, "__cell", *[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in (*before, *after) for x in "tv"]))
+    if size:
+        seen = join_null_safe(seen, F.broadcast(ends) if size <= BROADCAST_BYTES else ends, [*keys, "__cell"], "left")
+        seen = seen.withColumns({f"{v}_before": F.coalesce(f"{v}_before", f"__b_{v}") for v in values} | {f"{v}_after": F.coalesce(f"{v}_after", f"__a_{v}") for v in values}).drop(*before, *after)
+    return seen.drop("__cell", *[f"__at_{v}" for v in values])
+
+
+def on_the_line(index: str, value: str) -> Column:
+    """After beside_known: the value, else that on the line between the known ones next to it by index; flat beyond the first and the last; null where none is known."""
+    a, b = F.col(f"{value}_before"), F.col(f"{value}_after")
+    return F.coalesce(value, a["v"] + (b["v"] - a["v"]) * (F.col(index) - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0)), a["v"], b["v"])
+
+
 def interpolate(df: DataFrame, keys: Sequence[str], index: str, value: str, out: str, cell: float = CELL) -> DataFrame:
-    """Fill null values on the line between the known values next to them by index; flat beyond the first and the last; null where none is known. The known values next to a row are found by cells (temporal.neighbours)."""
-    known = df.filter(F.col(value).isNotNull() & F.col(index).isNotNull()).select(*keys, F.col(index).alias("__at"), F.col(value).alias("__v"))
-    near = neighbours(df, known, keys, index, "__at", ["__v"], cell)
-    line = F.col("before.__v") + (F.col("after.__v") - F.col("before.__v")) * (F.col(index) - F.col("before.t")) / F.nullif(F.col("after.t") - F.col("before.t"), F.lit(0))
-    return near.withColumn("__new", F.coalesce(value, line, "before.__v", "after.__v")).drop("before", "after", *([out] if out in df.columns else [])).withColumnRenamed("__new", out)
+    """Fill null values on the line between the known ones next to them (on_the_line)."""
+    return beside_known(df, keys, index, [value], cell).withColumn(out, on_the_line(index, value)).drop(f"{value}_before", f"{value}_after")
 
 
 def carried(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, cell: float = CELL) -> DataFrame:
     """The last known value up to each row."""
-    known = df.filter(F.col(value).isNotNull() & F.col(order).isNotNull()).select(*keys, F.col(order).alias("__at"), F.col(value).alias("__v"))
-    return neighbours(df, known, keys, order, "__at", ["__v"], cell).withColumn("__new", F.col("before.__v")).drop("before", "after", *([out] if out in df.columns else [])).withColumnRenamed("__new", out)
+    return beside_known(df, keys, order, [value], cell).withColumn(out, F.col(f"{value}_before.v")).drop(f"{value}_before", f"{value}_after")
 
 
 def groups_closed_by(df: DataFrame, keys: Sequence[str], order: str, closes: Column, out: str, cell: float = CELL) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from weftline.operators.lookup import beside, lookup_join
+from weftline.operators.lookup import beside, distinct_rows, lookup_join
 from weftline.functions.text import words
 from weftline.operators import sequences as S
 from weftline.operators.coverage import periods_and_gaps
@@ -139,8 +139,9 @@ def q_complement(spark: SparkSession, d: str) -> DataFrame:
 select video, idx, carried, round(coalesce(start, s0 + (s1 - s0) * (idx - i0) / nullif(i1 - i0, 0), s0, s1), 6) as start from k""")
 def q_interp(spark: SparkSession, d: str) -> DataFrame:
     """Missing starts on the line between the known ones by index, and the last known word carried forward."""
-    h = S.carried(heard(spark, d).select("video", "idx", "start", "word"), ["video"], "idx", "word", "carried")
-    return S.interpolate(h, ["video"], "idx", "start", "filled").select("video", "idx", "carried", six(F.col("filled"), "start"))
+    h = distinct_rows(S.in_cells(table(spark, d, "asr"), ["video"], "idx"), ["video", "__cell", "idx"])
+    h = S.beside_known(h, ["video"], "idx", ["start", "word"])
+    return h.select("video", "idx", F.col("word_before.v").alias("carried"), six(S.on_the_line("idx", "start"), "start"))
 
 
 @add("q_sentences", f"with {ASR}, c as (select *, coalesce(sum(case when regexp_matches(word, '[.!?…][»\"]* *$') then 1 else 0 end) over (partition by video order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as sentence from heard) select video, sentence, count(*) as n_words, min(start) as start, max(end_sec) as end_sec from c group by 1, 2")
