@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import random
+import time
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -338,3 +340,51 @@ def test_interpolation_goes_through_a_cell_once_each_way(spark, data):
 
     plan = entry.queries()["q_interp"](spark, data)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "rowframe" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def by_difflib(x, y):
+    at = [-1] * len(x)
+    for i, j, n in SequenceMatcher(a=x, b=y, autojunk=False).get_matching_blocks():
+        at[i : i + n] = range(j, j + n)
+    return at
+
+
+@pytest.mark.parametrize("few", [kernels.FEW, -(10**6)])
+def test_aligned_equals_difflib(monkeypatch, few):
+    """By listed runs, and with every gap swept; chunks of few pairs."""
+    monkeypatch.setattr(kernels, "FEW", few)
+    monkeypatch.setattr(kernels, "PAIRS", 50)
+    rng = random.Random(13)
+    for _ in range(300):
+        lists = []
+        for _ in range(rng.randint(1, 5)):
+            v, a = rng.choice([1, 2, 3, 6, 30]), rng.choice([0, 1, 7, 40, 90])
+            a = [rng.randrange(v) for _ in range(a)]
+            lists.append((a, rng.choice([[x for i, x in enumerate(a) if i % 7 != 3], [x for x in a if rng.random() < 0.8], a[len(a) // 2 :] + a[: len(a) // 2], [rng.randrange(v) for _ in range(30)]])))
+        tokens = np.array([x for a, _ in lists for x in a] + [x for _, b in lists for x in b], np.int64)
+        got = kernels.aligned(tokens, np.cumsum([len(a) for a, _ in lists]), np.cumsum([len(b) for _, b in lists]))
+        assert got.tolist() == [x for a, b in lists for x in by_difflib(a, b)], lists
+
+
+def test_token_align_of_lists(spark):
+    lists = [(0, list("abcxabd"), list("abdabc")), (1, [], ["a"]), (2, None, ["a"]), (3, ["a"], None), (4, ["a", None, "b"], [None, "b", "a"]), (5, ["a"], []), (6, list("bcd"), list("abcd"))]
+    got = spark.createDataFrame(lists * 40, "i int, a array<string>, b array<string>").repartition(1).withColumn("at", kernels.token_align_column()("a", "b")).collect()
+    assert len(got) == len(lists) * 40
+    for r in got:
+        assert r["at"] == by_difflib(r["a"] or [], r["b"] or []), r
+
+
+def test_token_align_of_long_texts_ends(spark, tmp_path):
+    """Words repeated over and over, a refrain, and a long text of words of any frequency: difflib goes through all pairs of a word's places for each block."""
+    import __spark_entry__ as entry
+
+    rng = random.Random(17)
+    common = [f"w{int(rng.paretovariate(0.8))}" for _ in range(30_000)]
+    texts = [["no", "sí"] * 2_000, [f"w{i % 50}" for i in range(20_000)], common, common[:1_500], ["no", "sí"] * 200]
+    spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").repartition(1).write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in entry.queries()["q_token_align"](spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 30
+    assert [got[i]["n_words"] for i in range(5)] == [4_000, 20_000, 30_000, 1_500, 400]
+    for i in (3, 4):
+        assert got[i]["n_matched"] == sum(j >= 0 for j in by_difflib(texts[i], [w for n, w in enumerate(texts[i]) if n % 7 != 3]))
